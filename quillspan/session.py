@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,17 @@ class Scratch:
     def drop(self, name: str) -> None:
         path = f"{self.root}/{name}"
         self._fs(path).delete(self._path(path), True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillspan_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="quillspan-")) / "quillspan.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for source in sorted(package.rglob("*.py")):
+            file.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._quillspan_shipped = True

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from quillspan.session import ship
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -10,4 +12,5 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     return session
