@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import lookalike, mix, tokens
+from quillspan.llm import lookalike, markup, mix, mojibake, spam, split, tokens, turns
 from quillspan.session import table
 
 
@@ -20,6 +20,54 @@ def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.one_form(headers, "value", "form").select("header_id", "form").distinct()
 
 
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "markdown_nodes").where(F.col("kind").isin(*markup.TEXT_KINDS))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.residue(_blocks(spark, d).select("md_doc_id", "id", "text"), "text").select("md_doc_id", "id").distinct()
+
+
+def p2_blocks(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _blocks(spark, d).select("md_doc_id", "id", "kind", "text", "byte_start").dropDuplicates(["md_doc_id", "id"])
+    return markup.labelled(nodes, "md_doc_id", ["byte_start", "id"], "text").select("md_doc_id", "id", "kind", "plain", "marks", "label")
+
+
+def p2_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "markdown_documents").select("md_doc_id", "decoded_text").dropDuplicates(["md_doc_id"])
+    return markup.documents(docs, "decoded_text", "plain").select("md_doc_id", "plain")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return split.piece_offsets(table(spark, d, "markdown_documents"), "md_doc_id", "decoded_text").where("piece = 1").select("md_doc_id")
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split.pieces(table(spark, d, "markdown_documents"), "md_doc_id", "decoded_text")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return turns.openings(table(spark, d, "transcript_segments"), table(spark, d, "recording_speakers"), table(spark, d, "recordings"))
+
+
+def p6_turns(spark: SparkSession, d: str) -> DataFrame:
+    return turns.turns(table(spark, d, "transcript_segments"), table(spark, d, "recording_speakers"), table(spark, d, "recordings"))
+
+
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "markdown_documents").select(F.lit("markdown_documents").alias("record_table"), F.col("md_doc_id").alias("record_id"), F.col("decoded_text").alias("text"))
+    headers = table(spark, d, "email_headers").select(F.lit("email_headers").alias("record_table"), F.col("header_id").alias("record_id"), F.col("decoded_value").alias("text"))
+    return mojibake.mend(documents.unionByName(headers), "text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select("record_table", "record_id").distinct()
+
+
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select("record_table", "record_id", "kind", "restored").distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -37,5 +85,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
-SQL: dict[str, str] = {}
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return spam.judge(table(spark, d, "documents"), "doc_id", "text", "site")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).where("spam").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select("doc_id", "vote", "host_rate", "score", "spam")
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_documents": p2_documents, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p7_restored": p7_restored,
+    "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores,
+}
+SQL = {"p3_found": "SELECT DISTINCT md_doc_id FROM markdown_documents WHERE length(decoded_text) > 4000"}
