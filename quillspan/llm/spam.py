@@ -45,17 +45,19 @@ _LEET_WORD = re.compile(r"(?<![\w@$])(?=[\w@$]*[^\W\d_])(?=[\w@$]*[013457@$])[^\
 _CODE = re.compile(r"[(){}\[\];=<>&|+*/\\]")
 _HASHTAG = re.compile(r"#[^\W\d_]")
 _HIDDEN = re.compile("[\xad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
-_SPLIT = re.compile(r"(?:[^\W_][.\-_*·]){3}[^\W_]|(?:[^\W\d_] ){4}[^\W\d_]")
-_LEETISH = re.compile(r"[^\W\d_][013457@$]|[013457@$][^\W\d_]")
-_TOKEN = re.compile(r"\S+")
-_LINKED = re.compile(r"://|\]\(|<a\s|www\.|\.(?:com|org|net|info|biz|io|example|test|invalid)\b", re.I)
+_DOTS = re.compile(r"[.\-_*·][^\W_][.\-_*·][^\W_][.\-_*·]")
+_SPACES = re.compile(r" \w \w \w ")
+_LEETISH = re.compile(r"[013457@$](?:(?=[^\W\d_])|(?<=[^\W\d_].))")
+_TLD = re.compile(r"\.(?:com|org|net|info|biz|io|example|test|invalid)\b", re.I)
 _ADDRESS = re.compile(r"\]\(.*|<?https?://\S+|\S+\.\S+", re.S)
 _SEPARATOR = re.compile(r"\s[|•·;/~»-]\s|[,;]\s")
 _TAGGED = re.compile(r"<[^<>]{1,200}>")
 
-FEATURES = (
-    "length", "stops", "sentences", "links", "bare_links", "repeats", "distinct", "digits", "code", "hashes", "disguise", "separators", "variety", "top_word", "top_pairs", "vocabulary", "stuffed", "junk", "unit_words",
+PLAIN = (
+    "length", "stops", "sentences", "links", "bare_links", "repeats", "distinct", "digits", "code", "hashes", "disguise", "separators", "variety", "top_word", "top_pairs", "unit_words",
 )
+WORDED = ("vocabulary", "stuffed", "junk")
+FEATURES = PLAIN + WORDED
 
 
 def plain(text: str) -> tuple[str, float]:
@@ -72,74 +74,98 @@ def plain(text: str) -> tuple[str, float]:
         odd += len(m[0])
         return re.sub(r"[\s.\-_*·]", "", m[0])
 
-    def leet(m: re.Match[str]) -> str:
+    def leet(w: str) -> str:
         nonlocal odd
-        w = m[0]
-        if "/" in w or "." in w[1:-1] or not _LEET_WORD.fullmatch(w.strip(",;:.!?|")):
+        if w.isalpha() or not _LEETISH.search(w) or "/" in w or "." in w[1:-1] or not _LEET_WORD.fullmatch(w.strip(",;:.!?|")):
             return w
         odd += len(w)
         return "".join(_LEET.get(c, c) for c in w)
 
-    if _SPLIT.search(s):
+    if " " in s and _SPACES.search(s) or _DOTS.search(s):
         s = _SPACED.sub(join, _DOTTED.sub(join, s))
     if _LEETISH.search(s):
-        s = _TOKEN.sub(leet, s)
+        s = "\n".join(" ".join(map(leet, line.split(" "))) for line in s.split("\n"))
     return s, min(1.0, odd / max(1, len(text)))
 
 
-def features(text: str, vocabulary: frozenset[str] = frozenset()) -> tuple[float, ...]:
-    """The features of a page; those of the vocabulary are 0 without one."""
+def features(text: str) -> tuple[tuple[float, ...], str]:
+    """The features of a page that need no vocabulary, and its units for those that do.
+
+    A line for each unit: its characters, 1 if its links are bare, the number of words that are told (neither function
+    words nor numbers) and these words; the last line has the letters of all words.
+    """
     s, disguise = plain(text)
     total = max(1, len(s))
-    linked_page = _LINKED.search(s) is not None
+    linked_page = "://" in s or "](" in s or "<a" in s or "www." in s or _TLD.search(s) is not None
     words: list[str] = []
-    sentences = links = bare = stuffed = units = unit_words = code = spam_letters = seps = 0
+    content: list[str] = []
+    lines: list[str] = []
+    sentences = links = bare = unit_words = code = seps = n_stops = letters = 0
     known: set[str] = set()
     for unit in _UNIT.split(s):
         if not unit or unit.isspace():
             continue
-        found = [m[0] for m in _LINK.finditer(unit)] if linked_page and _LINKED.search(unit) else ()
-        rest = unit
+        found = [m[0] for m in _LINK.finditer(unit)] if linked_page else ()
+        rest, anchors = unit, []
         if found:
             rest = _LINK.sub(" ", unit)
             links += sum(map(len, found))
             for x in found:
-                words += _WORD.findall(_TAGGED.sub(" ", _ADDRESS.sub(" ", x)).lower())
+                anchors += _WORD.findall(_TAGGED.sub(" ", _ADDRESS.sub(" ", x)).lower())
         uw = _WORD.findall(_TAGGED.sub(" ", rest).lower() if "<" in rest else rest.lower())
-        words += uw
         code += len(_CODE.findall(rest))
         seps += len(_SEPARATOR.findall(rest))
-        stops = [w for w in uw if w in STOP_WORDS]
-        kinds = set(stops)
-        known |= kinds
+        told = [w for w in uw if w not in STOP_WORDS]
         n = len(uw)
-        units += 1
+        stops = n - len(told)
+        kinds = STOP_WORDS.intersection(uw)
+        known |= kinds
+        n_stops += stops
         unit_words += n
-        prose = n >= 5 and len(stops) >= 0.2 * n and len(kinds) >= min(5, n / 6)
-        if found and not (prose and n >= 3 * len(found)):
+        prose = n >= 5 and stops >= 0.2 * n and len(kinds) >= min(5, n / 6)
+        unexplained = bool(found) and not (prose and n >= 3 * len(found))
+        if unexplained:
             bare += len(unit)
-        elif vocabulary:
-            spam = [w for w in uw if w in vocabulary]
-            told = n - len(stops) - sum(map(str.isdigit, uw)) if spam else 1
-            if len(spam) >= 3 and len(spam) >= 0.45 * told or spam and len(spam) >= 0.6 * told:
-                stuffed += len(unit)
         if prose:
             sentences += len(unit)
-    n = max(1, len(words))
-    content = [w for w in words if w not in STOP_WORDS and not w.isdigit()]
-    m = max(1, len(content))
-    n_stops = len(words) - sum(w not in STOP_WORDS for w in words)
+        told = [w for w in told if not w.isdigit()]
+        lines.append(f"{len(unit)} {int(unexplained)} {len(told)} {' '.join(told)}")
+        if anchors:
+            words += anchors
+            more = [w for w in anchors if w not in STOP_WORDS and not w.isdigit()]
+            n_stops += sum(w in STOP_WORDS for w in anchors)
+            content += more
+            lines.append(f"0 1 {len(more)} {' '.join(more)}")
+        words += uw
+        content += told
+    n, m = max(1, len(words)), max(1, len(content))
     pairs = Counter(zip(words, words[1:]))
     repeats = sum(k for p, k in pairs.items() if k >= 3 and not (p[0] in STOP_WORDS and p[1] in STOP_WORDS)) / n
     top_word = (max(Counter(content).values(), default=1) - 1) / m if m > 11 else 0.0
     top_pairs = 2 * sum(k for k in sorted(Counter(zip(content, content[1:])).values())[-3:] if k > 2) / m if m > 11 else 0.0
-    if vocabulary:
-        spam_letters = sum(len(w) for w in content if w in vocabulary)
+    letters = sum(map(len, words))
+    lines.append(f"{letters}")
     return (
         math.log1p(total), n_stops / n, sentences / total, links / total, bare / total, repeats, len(set(words)) / n, sum(map(s.count, "0123456789")) / total, code / total,
-        len(_HASHTAG.findall(s)) / n, disguise, seps / n, min(1.0, len(known) / min(12.0, max(2.0, n / 6))), top_word, min(1.0, top_pairs),
-        spam_letters / max(1, sum(map(len, words))), stuffed / total, min(1.0, (stuffed + bare) / total), min(50.0, unit_words / max(1, units)),
-    )
+        len(_HASHTAG.findall(s)) / n, disguise, seps / n, min(1.0, len(known) / min(12.0, max(2.0, n / 6))), top_word, min(1.0, top_pairs), min(50.0, unit_words / max(1, len(lines) - 1)),
+    ), "\n".join(lines)
+
+
+def worded(lines: str, vocabulary: frozenset[str]) -> tuple[float, float, float]:
+    """(share of letters in words of the vocabulary, share of characters in stuffed units, the same with bare links)."""
+    *units, letters = lines.split("\n")
+    total = stuffed = bare = hits = 0
+    for unit in units:
+        size, unexplained, told, *words = unit.split(" ")
+        spam = [w for w in words if w in vocabulary]
+        total += int(size)
+        hits += sum(map(len, spam))
+        if unexplained == "1":
+            bare += int(size)
+        elif spam and (len(spam) >= 3 and len(spam) >= 0.45 * int(told) or len(spam) >= 0.6 * int(told)):
+            stuffed += int(size)
+    total = max(1, total)
+    return hits / max(1, int(letters)), stuffed / total, (stuffed + bare) / total
 
 
 def first_label(f: dict[str, float]) -> int | None:
@@ -155,33 +181,20 @@ def first_label(f: dict[str, float]) -> int | None:
     return None
 
 
-def vocabulary(df: DataFrame, text: str) -> frozenset[str]:
+def vocabulary(pages: DataFrame) -> frozenset[str]:
     """The words that are far more frequent, by documents, among first-label spam than among first-label honest pages.
 
-    Counted over all pages. A word counts from five spam pages on; the ``WORDS`` most frequent are kept, which bounds
-    what reaches the driver.
+    pages: columns first (label) and lines (units). Counted over all pages. A word counts from five spam pages on; the
+    ``WORDS`` most frequent are kept, which bounds what reaches the driver.
     """
-
-    @F.pandas_udf("label int, words array<string>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            label = first_label(dict(zip(FEATURES, features(t))))
-            words = None
-            if label is not None:
-                s = _TAGGED.sub(" ", plain(t)[0])
-                bare = re.sub(r"\]\([^()\s]*\)|https?://\S+|www\.\S+|\S+\.\S+/\S*", " ", s)
-                words = sorted({w for w in (x.casefold() for x in _WORD.findall(bare)) if w not in STOP_WORDS and not w.isdigit()})
-            rows.append((label, words))
-        return pd.DataFrame(rows, columns=["label", "words"]).astype({"label": "Int64"})
-
-    marked = df.select(run(text).alias("x")).where("x.label is not null").select("x.label", F.explode(F.concat("x.words", F.array(F.lit("")))).alias("word"))
-    counts = marked.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("spam"), F.count_if(F.col("label") == 0).alias("honest"))
-    total = counts.where("word = ''").first()
-    if total is None or not total.spam:
+    words = F.array_distinct(F.split(F.regexp_replace("lines", r"(?m)^\d+(?: [01] \d+)? ?", ""), "[ \n]+"))
+    marked = pages.where("first is not null").select("first", F.explode(words).alias("word")).where("word != ''")
+    counts = marked.groupBy("word").agg(F.count_if(F.col("first") == 1).alias("spam"), F.count_if(F.col("first") == 0).alias("honest"))
+    total = pages.agg(F.count_if(F.col("first") == 1).alias("spam"), F.count_if(F.col("first") == 0).alias("honest")).first()
+    if not total.spam:
         return frozenset()
     rate = F.col("spam") / total.spam / ((F.col("honest") + 0.5) / (total.honest + 1))
-    kept = counts.where((F.col("word") != "") & (F.col("spam") >= 5) & (rate >= 5)).orderBy(F.desc("spam"), "word").limit(WORDS)
+    kept = counts.where((F.col("spam") >= 5) & (rate >= 5)).orderBy(F.desc("spam"), "word").limit(WORDS)
     return frozenset(r.word for r in kept.collect())
 
 
@@ -196,15 +209,23 @@ def judge(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
     scratch = Scratch(spark, "spam")
     pages = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(host).alias("h"))
     full = pages.where(F.col("t").rlike(r"\S"))
-    words = vocabulary(full, "t")
 
-    @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES) + ", first int")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(", ".join(f"{f} double" for f in PLAIN) + ", first int, lines string")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = [features(t, words) for t in texts]
-            yield pd.DataFrame([(*r, first_label(dict(zip(FEATURES, r)))) for r in rows], columns=[*FEATURES, "first"]).astype({"first": "Int64"})
+            rows = [(*f, first_label(dict(zip(PLAIN, f))), lines) for f, lines in map(features, texts)]
+            yield pd.DataFrame(rows, columns=[*PLAIN, "first", "lines"]).astype({"first": "Int64"})
+
+    units = scratch.put(full.select("k", "h", read("t").alias("f")).select("k", "h", "f.*"), "units")
+    words = vocabulary(units)
+
+    @F.pandas_udf(", ".join(f"{f} double" for f in WORDED))
+    def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for lines in batches:
+            yield pd.DataFrame([worded(x, words) for x in lines], columns=list(WORDED))
 
-    table = scratch.put(full.select("k", "h", run("t").alias("f")).select("k", "h", "f.*"), "features")
+    table = scratch.put(units.withColumn("w", weigh("lines")).select("k", "h", *PLAIN, "first", "w.*"), "features")
+    scratch.drop("units")
     full_junk, clean = F.col("junk") > 0.65, (F.col("junk") < 0.25) & (F.col("vocabulary") < 0.35)
     label = F.when(full_junk | (F.col("first") == 1), 1.0).when(clean & F.coalesce(F.col("first") == 0, F.col("top_word") < 0.15), 0.0)
     marked = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(table.withColumn("label", label))
