@@ -28,8 +28,16 @@ SWAPS = (
 )
 #: Greek and Cyrillic letters that stand for Latin ones in disguised words; alone they are no sign of a wrong encoding.
 _ALIKE = re.compile("[ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοАВЕЅІЈКМНОРСТУХаеорсухѕіј]+\\Z")
+_LATIN = re.compile("[A-Za-z]")
 ROUNDS = 4
+#: Gains in log probability: of all words of a text garbled as a whole; of a word that counts in a text garbled in part,
+#: and of all such words.
 SWAP_SCORE = 4.0
+WORD_SCORE = 6.0
+PART_SCORE = 24.0
+#: Texts with these are left out when pairs are counted: UTF-8 read as a legacy encoding, lost characters.
+_NOT_SOUND = "[ÂÃ][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|â€|├|√[^ ]|Г[^ а-яА-Я]|\ufffd"
+
 
 _CODE = re.compile(r"(?<!`)(`+)(?!`)([^\n]*?[^`\n])\1(?!`)")
 #: What a decoded run may hold: letters and signs of scripts in use, not any code point.
@@ -156,7 +164,7 @@ class Mender:
         out, base = [], self._score(token)
         alike = _ALIKE.match("".join(c for c in token if "\u0370" <= c < "\u0530") or "а") is not None
         for i, (read, true) in enumerate(SWAPS):
-            if alike and read in ("cp1251", "koi8_r"):
+            if (alike or not _LATIN.search(token)) and read in ("cp1251", "koi8_r"):
                 continue
             fixed = token.translate(_swap(read, true))
             if fixed != token:
@@ -183,14 +191,16 @@ class Mender:
             if codec:
                 kind, out = kind or codec, fixed
             if kind is None:
-                gains = [0.0] * len(SWAPS)
+                gains, strong = [0.0] * len(SWAPS), [0.0] * len(SWAPS)
                 for token in tokens:
                     for i, gain, _ in self.swap_score(token):
                         gains[i] += gain
-                i = max(range(len(SWAPS)), key=gains.__getitem__)
-                if gains[i] >= SWAP_SCORE:
+                        strong[i] += gain if gain >= WORD_SCORE else 0
+                i = max(range(len(SWAPS)), key=lambda i: max(gains[i], strong[i] - PART_SCORE))
+                if gains[i] >= SWAP_SCORE or strong[i] >= PART_SCORE:
                     read, true = SWAPS[i]
-                    kind, out = f"{true} as {read}", bare.translate(_swap(read, true))
+                    fixes = {t: fixed for t in tokens for j, gain, fixed in self.swap_score(t) if j == i and gain > 0}
+                    kind, out = f"{true} as {read}", re.sub("[^ \t\r\n]+", lambda m: fixes.get(m[0], m[0]), bare)
         if "�" in bare:
             kind, out = kind or "lost", None if kind is None else out
         if kind is None:
@@ -210,7 +220,7 @@ def character_pairs(df: DataFrame, text: str) -> dict[str, float]:
     The alphabet is fixed (under 700 characters with ASCII), so what reaches the driver is bounded by its square.
     """
     padded = F.concat(F.lit(" "), F.translate(text, "\r\n\t", "   "), F.lit(" ")).alias("t")
-    found = df.where(F.col(text).rlike("[^\\x00-\\x7f]")).select(padded).select(F.explode(F.regexp_extract_all("t", F.lit("(?=([^\\x00-\\x7f].|.[^\\x00-\\x7f]))"), F.lit(1))).alias("pair"))
+    found = df.where(F.col(text).rlike("[^\\x00-\\x7f]") & ~F.col(text).rlike(_NOT_SOUND)).select(padded).select(F.explode(F.regexp_extract_all("t", F.lit("(?=([^\\x00-\\x7f].|.[^\\x00-\\x7f]))"), F.lit(1))).alias("pair"))
     found = found.groupBy("pair").agg(F.count("*").alias("n")).where(F.translate("pair", _alphabet(), "").rlike("^[\\x20-\\x7e]{0,1}$"))
     counts = {r.pair: r.n for r in found.collect()}
     total = sum(counts.values()) + 10_000
