@@ -31,10 +31,11 @@ _ALIKE = re.compile("[ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοАВЕЅІЈКМНОРСТ
 _LATIN = re.compile("[A-Za-z]")
 ROUNDS = 4
 #: Gains in log probability: of all words of a text garbled as a whole; of a word that counts in a text garbled in part,
-#: and of all such words.
+#: and of all such words (a third of it in a text of few words).
 SWAP_SCORE = 4.0
 WORD_SCORE = 6.0
 PART_SCORE = 24.0
+FEW_WORDS = 12
 #: Texts with these are left out when pairs are counted: UTF-8 read as a legacy encoding, lost characters.
 _NOT_SOUND = "[ÂÃ][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|â€|├|√[^ ]|Г[^ а-яА-Я]|\ufffd"
 
@@ -196,8 +197,9 @@ class Mender:
                     for i, gain, _ in self.swap_score(token):
                         gains[i] += gain
                         strong[i] += gain if gain >= WORD_SCORE else 0
-                i = max(range(len(SWAPS)), key=lambda i: max(gains[i], strong[i] - PART_SCORE))
-                if gains[i] >= SWAP_SCORE or strong[i] >= PART_SCORE:
+                part = PART_SCORE if len(tokens) > FEW_WORDS else PART_SCORE / 3
+                i = max(range(len(SWAPS)), key=lambda i: max(gains[i], strong[i] - part))
+                if gains[i] >= SWAP_SCORE or strong[i] >= part:
                     read, true = SWAPS[i]
                     fixes = {t: fixed for t in tokens for j, gain, fixed in self.swap_score(t) if j == i and gain > 0}
                     kind, out = f"{true} as {read}", re.sub("[^ \t\r\n]+", lambda m: fixes.get(m[0], m[0]), bare)
