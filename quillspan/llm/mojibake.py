@@ -31,7 +31,7 @@ _ALIKE = re.compile("[ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοАВЕЅІЈКМНОРСТ
 _LATIN = re.compile("[A-Za-z]")
 ROUNDS = 4
 #: Gains in log probability: of all words of a text garbled as a whole; of a word that counts in a text garbled in part,
-#: and of all such words (a third of it in a text of few words).
+#: and of all such words (a quarter of it in a text of few words).
 SWAP_SCORE = 4.0
 WORD_SCORE = 6.0
 PART_SCORE = 24.0
@@ -197,7 +197,7 @@ class Mender:
                     for i, gain, _ in self.swap_score(token):
                         gains[i] += gain
                         strong[i] += gain if gain >= WORD_SCORE else 0
-                part = PART_SCORE if len(tokens) > FEW_WORDS else PART_SCORE / 3
+                part = PART_SCORE if len(tokens) > FEW_WORDS else PART_SCORE / 4
                 i = max(range(len(SWAPS)), key=lambda i: max(gains[i], strong[i] - part))
                 if gains[i] >= SWAP_SCORE or strong[i] >= part:
                     read, true = SWAPS[i]
