@@ -12,7 +12,7 @@ join at the end. The state of each round is a table in the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.session import Scratch
@@ -64,9 +64,9 @@ def _double(nodes: DataFrame, key: str, node: str, parent: str, paths: bool) ->
 
 def _round(scratch: Scratch, state: DataFrame, k: int) -> tuple[DataFrame, int, int]:
     """The state of round k as a table, and how many of its nodes are open and finished."""
-    seen = Observation()
-    part = scratch.put(state.observe(seen, F.count_if("open").alias("n_open"), F.count_if(~F.col("open")).alias("n_done")), f"round{k}")
-    return part, seen.get["n_open"], seen.get["n_done"]
+    part = scratch.put(state, f"round{k}")
+    seen = part.agg(F.count_if("open"), F.count_if(~F.col("open"))).first()
+    return part, seen[0], seen[1]
 
 
 def endless_nodes(nodes: DataFrame, key: str, node: str, parent: str) -> DataFrame:
