@@ -98,13 +98,22 @@ def reply_layers(spark: SparkSession, d: str) -> DataFrame:
     return graph.layers(edges).select(F.col("id").alias("stable_id"), "layer")
 
 
-def event_walks(spark: SparkSession, d: str) -> DataFrame:
+def _event_steps(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    steps = table(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("n <= 8")
+    return table(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+
+
+def event_walks(spark: SparkSession, d: str) -> DataFrame:
+    """The opening of each user's walk, its first 8 events, as its SQL has it; ``whole_event_walks`` signs all events."""
+    steps = _event_steps(spark, d).where("n <= 8")
     return graph.walk_signatures(steps, "user_id", "n", "event_type").groupBy("length", "trace").agg(F.count("*").alias("walks"))
 
 
+def whole_event_walks(spark: SparkSession, d: str) -> DataFrame:
+    return graph.walk_signatures(_event_steps(spark, d), "user_id", "n", "event_type").groupBy("length", "trace").agg(F.count("*").alias("walks"))
+
+
 def heading_ancestry(spark: SparkSession, d: str) -> DataFrame:
     return graph.heading_paths(table(spark, d, "markdown_nodes"))
 
@@ -177,7 +186,7 @@ def citation_status(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     text_identity, line_units, line_segments, repeated_lines, newline_fidelity, identical_texts, thread_links, subject_groups, header_message_ids, mail_zones, subject_similarity,
-    cue_overlaps, transcripts, recording_confidence, recording_participants, graph_nodes, graph_edges, graph_violations, reply_layers, event_walks, heading_ancestry, enclosing_blocks,
+    cue_overlaps, transcripts, recording_confidence, recording_participants, graph_nodes, graph_edges, graph_violations, reply_layers, event_walks, whole_event_walks, heading_ancestry, enclosing_blocks,
     obligations, safe_links, cell_kinds, table_widths, cell_labels, event_facts, event_extent, repository_identity, row_range, format_candidates, citation_status,
 )}
 
@@ -261,6 +270,9 @@ p AS (SELECT a AS id, 0 AS k, [a] AS path FROM (SELECT a FROM g UNION SELECT b F
 SELECT id AS stable_id, CAST(max(k) AS INTEGER) AS layer FROM p GROUP BY 1""",
     "event_walks": """WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 f AS (SELECT user_id, n, min(n) OVER (PARTITION BY user_id, event_type) AS f FROM s WHERE n <= 8), r AS (SELECT user_id, n, dense_rank() OVER (PARTITION BY user_id ORDER BY f) - 1 AS r FROM f),
+w AS (SELECT user_id, count(*) AS length, string_agg(CAST(r AS VARCHAR), '.' ORDER BY n) AS trace FROM r GROUP BY 1) SELECT length, trace, count(*) AS walks FROM w GROUP BY 1, 2""",
+    "whole_event_walks": """WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, n, min(n) OVER (PARTITION BY user_id, event_type) AS f FROM s), r AS (SELECT user_id, n, dense_rank() OVER (PARTITION BY user_id ORDER BY f) - 1 AS r FROM f),
 w AS (SELECT user_id, count(*) AS length, string_agg(CAST(r AS VARCHAR), '.' ORDER BY n) AS trace FROM r GROUP BY 1) SELECT length, trace, count(*) AS walks FROM w GROUP BY 1, 2""",
     "heading_ancestry": f"""WITH b AS (SELECT md_doc_id, id, any_value(kind) AS kind, any_value(level) AS level, any_value(text) AS text, any_value(byte_start) AS byte_start FROM markdown_nodes WHERE byte_start IS NOT NULL GROUP BY 1, 2),
 h AS (SELECT md_doc_id, id, {_HEADS} FROM b WINDOW w AS (PARTITION BY md_doc_id ORDER BY byte_start, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
