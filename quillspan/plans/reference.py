@@ -24,9 +24,14 @@ def line_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects of 5 messages or more, as its SQL has them; ``repeated_document_lines`` takes the lines of texts."""
     return lines.repeated_lines(table(spark, d, "mail_messages").select("stable_id", "subject").distinct(), "stable_id", "subject", 5)
 
 
+def repeated_document_lines(spark: SparkSession, d: str) -> DataFrame:
+    return lines.repeated_lines(table(spark, d, "documents"), "doc_id", "text")
+
+
 def newline_fidelity(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "markdown_documents").select("md_doc_id", "decoded_text").dropDuplicates(["md_doc_id"])
     return lines.newlines(docs, "md_doc_id", "decoded_text")
@@ -185,7 +190,7 @@ def citation_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    text_identity, line_units, line_segments, repeated_lines, newline_fidelity, identical_texts, thread_links, subject_groups, header_message_ids, mail_zones, subject_similarity,
+    text_identity, line_units, line_segments, repeated_lines, repeated_document_lines, newline_fidelity, identical_texts, thread_links, subject_groups, header_message_ids, mail_zones, subject_similarity,
     cue_overlaps, transcripts, recording_confidence, recording_participants, graph_nodes, graph_edges, graph_violations, reply_layers, event_walks, whole_event_walks, heading_ancestry, enclosing_blocks,
     obligations, safe_links, cell_kinds, table_widths, cell_labels, event_facts, event_extent, repository_identity, row_range, format_candidates, citation_status,
 )}
@@ -233,6 +238,9 @@ FROM r JOIN documents d USING (doc_id) WHERE i = len(s)""",
     "repeated_lines": f"""WITH l AS (SELECT DISTINCT stable_id, subject FROM mail_messages WHERE subject IS NOT NULL), x AS (SELECT stable_id, unnest(regexp_split_to_array(subject, '[\\r\\n]+')) AS line FROM l),
 y AS (SELECT stable_id, regexp_replace({_NORMAL('lower(line)')}, '[0-9]+', '#', 'g') AS pattern FROM x)
 SELECT pattern, count(DISTINCT stable_id) AS documents, count(*) AS occurrences FROM y WHERE pattern <> '' GROUP BY 1 HAVING count(DISTINCT stable_id) >= 5""",
+    "repeated_document_lines": f"""WITH x AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[\\r\\n]+')) AS line FROM documents WHERE text IS NOT NULL),
+y AS (SELECT doc_id, regexp_replace({_NORMAL('lower(line)')}, '[0-9]+', '#', 'g') AS pattern FROM x)
+SELECT pattern, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM y WHERE pattern <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2""",
     "newline_fidelity": r"""WITH x AS (SELECT md_doc_id, any_value(decoded_text) AS t FROM markdown_documents WHERE decoded_text IS NOT NULL GROUP BY 1),
 y AS (SELECT md_doc_id, t, len(regexp_extract_all(t, '\r\n')) AS crlf, len(regexp_extract_all(t, '\n')) AS nl, len(regexp_extract_all(t, '\r')) AS cr FROM x)
 SELECT md_doc_id, nl - crlf AS lf, crlf, cr - crlf AS cr, regexp_matches(t, '[\r\n]$') AS ended, (CASE WHEN nl > crlf THEN 1 ELSE 0 END + CASE WHEN crlf > 0 THEN 1 ELSE 0 END + CASE WHEN cr > crlf THEN 1 ELSE 0 END) > 1 AS mixed FROM y""",

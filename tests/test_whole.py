@@ -13,3 +13,10 @@ def test_whole_event_walks(spark, tmp_path):
         want[len(trace), ".".join(map(str, trace))] += 1
     got = {(r.length, r.trace): r.walks for r in reference.whole_event_walks(spark, str(tmp_path)).collect()}
     assert got == want and sum(n * k for (n, _), k in got.items()) == len(events)
+
+
+def test_repeated_document_lines(spark, tmp_path):
+    texts = {1: "Page 1 of 9\r\nbody one\rPAGE  2 of 9", 2: "page 7 of 12\n\nother", 3: "other\nother\n", 4: None, 5: "", 6: "alone\nalone"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.pattern: (r.documents, r.occurrences) for r in reference.repeated_document_lines(spark, str(tmp_path)).collect()}
+    assert got == {"page # of #": (2, 3), "other": (2, 3)}
