@@ -14,10 +14,14 @@ from collections.abc import Iterator
 from html.entities import html5
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TEXT_KINDS = ("heading", "paragraph", "list_item", "table_cell")
+#: Blocks with running text of their own, whose labels count for their neighbours.
+FLOW_KINDS = (*TEXT_KINDS, "html_block", "footnote_definition")
+#: Code and formulas, which stay as they are.
+KEPT_KINDS = ("code_fence", "inline_code", "inline_math", "display_math")
 MAX_LINK_DENSITY = 0.2
 SHORT = 70
 LONG = 200
@@ -79,6 +83,9 @@ TRIGGER = (
     r"<[A-Za-z/!?]|&#?[A-Za-z0-9]+;|\{\{|\{\\|\[\[|\]\(|\]\[|\[\^|\[/|''|==|##|(?:^|\n)# |\\[A-Za-z(\[]|`|~~|\$|\||(?<![\w*])\*+[^\s*]|(?<!\w)_+[^\s_]"
 )
 
+#: Each mark that ``strip`` knows has one of these; a text without any of them is returned at once.
+_MAY = re.compile(r"<[A-Za-z/!?]|&[#A-Za-z]|\{[{\\]|\[[\[^/]|\][(\[]|\]\]>|''|==|#\s|\\[A-Za-z(\[]|`|~~|\$|\||\*(?<![\w*\\]\*)|_(?<!\w_)")
+
 _DROPPED = frozenset("label ref cite pageref eqref citep citet begin end bibliography bibliographystyle input include usepackage documentclass vspace hspace index".split())
 
 
@@ -110,6 +117,8 @@ def _strip_tags(text: str) -> tuple[str, int]:
 
 def strip(text: str) -> tuple[str, int]:
     """(text without markup, number of marks found). Code and formulas are not expected in it."""
+    if not _MAY.search(text):
+        return text, 0
     hits = 0
 
     def sub(pattern: re.Pattern[str], to: str | object, s: str) -> str:
@@ -174,11 +183,16 @@ def clean_document(text: str | None) -> str | None:
         if not block:
             return
         kept: list[str] = []
-        s = _KEPT.sub(lambda m: kept.append(m[0]) or f"\x02{len(kept) - 1}\x02", "\n".join(block))
+        s = "\n".join(block)
+        if "`" in s or "$" in s or "\\" in s:
+            s = _KEPT.sub(lambda m: kept.append(m[0]) or f"\x02{len(kept) - 1}\x02", s)
         block.clear()
         for line in s.split("\n"):
+            if not kept and "---" not in line and not _MAY.search(line):
+                out.append(line.rstrip())
+                continue
             m = re.match(r"(\s*(?:>\s?)*\s*(?:[-*+•]\s+(?:\[[ xX]\]\s+)?|\d{1,4}[.)]\s+|#{1,6}\s+)?)(.*)", line, re.S)
-            if re.fullmatch(r"\s*\|?[\s:|-]*-{3,}[\s:|-]*\|?\s*", line):
+            if "---" in line and re.fullmatch(r"\s*\|?[\s:|-]*-{3,}[\s:|-]*\|?\s*", line):
                 continue  # rules and the line under a table's head
             body = m[2]
             if body.startswith("|"):
@@ -212,12 +226,12 @@ def _first_pass(text: str, marks: int, plain: str) -> str:
     length = len(plain)
     if not words:
         return "bad"
-    links = sum(len(m[0]) for m in re.finditer(r"https?://\S+|www\.\S+", text)) / max(1, len(text))
-    stops = sum(w.strip(".,;:!?()\"'").casefold() in STOP_WORDS for w in words) / len(words)
+    links = sum(len(m[0]) for m in re.finditer(r"https?://\S+|www\.\S+", text)) / max(1, len(text)) if "http" in text or "www." in text else 0
     if links > MAX_LINK_DENSITY:
         return "bad"
     if length < SHORT:
         return "bad" if marks > 2 * len(words) else "short"
+    stops = sum(w.strip(".,;:!?()\"'").casefold() in STOP_WORDS for w in words) / len(words)
     if stops >= STOP_HIGH:
         return "good" if length > LONG else "near"
     return "near" if stops >= STOP_LOW else "good" if length > LONG and stops >= 0.15 else "bad"
@@ -247,11 +261,15 @@ def residue(df: DataFrame, text: str) -> DataFrame:
     return blocks(df.where(F.col(text).rlike(TRIGGER)), text).where("marks > 0")
 
 
-def labelled(df: DataFrame, document: str, place: list[str], text: str) -> DataFrame:
-    """``blocks`` and column label (good or bad) after the second pass over the blocks of each document in order."""
+def labelled(df: DataFrame, document: str, place: list[str], text: str, counts: Column | None = None) -> DataFrame:
+    """``blocks`` and column label (good or bad) after the second pass over the blocks of each document in order.
+
+    Rows for which ``counts`` is false are labelled, but are no neighbours to others.
+    """
     order = Window.partitionBy(document).orderBy(*place)
-    decided = F.when(F.col("first").isin("good", "bad"), F.struct(F.col("first").alias("l"), F.col("_n").alias("n")))
-    rows = blocks(df, text).withColumn("_n", F.row_number().over(order))
+    counted = F.lit(True) if counts is None else counts
+    decided = F.when(counted & F.col("first").isin("good", "bad"), F.struct(F.col("first").alias("l"), F.col("_n").alias("n")))
+    rows = blocks(df, text).withColumn("_n", F.sum(F.when(counted, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumns({
         "_up": F.last(decided, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
         "_down": F.first(decided, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
@@ -261,6 +279,21 @@ def labelled(df: DataFrame, document: str, place: list[str], text: str) -> DataF
     return rows.withColumn("label", label).drop("_n", "_up", "_down")
 
 
+def nodes(df: DataFrame, document: str, place: list[str]) -> DataFrame:
+    """Adds plain (clean text), plain_raw (clean raw), marks and label to nodes of all kinds (kind, text and raw).
+
+    Code and formulas stay as they are and are good. Nodes without a text of their own have null plain; their marks and
+    label are those of raw. Labels of neighbours come from ``FLOW_KINDS`` alone, as other nodes lie inside or around these.
+    """
+    kept, own = F.col("kind").isin(*KEPT_KINDS), F.col("text").isNotNull()
+    rows = documents(df.withColumn("_r", F.when(~kept, F.col("raw"))), "_r", "_clean")
+    judged = F.when(~kept & (own | (F.col("_clean") != "")), F.coalesce("text", "raw"))
+    rows = labelled(rows.withColumn("_j", judged), document, place, "_j", F.col("kind").isin(*FLOW_KINDS))
+    return rows.withColumns({
+        "plain": F.when(kept, F.col("text")).when(own, F.col("plain")), "plain_raw": F.when(kept, F.col("raw")).otherwise(F.col("_clean")), "label": F.when(kept, "good").otherwise(F.col("label")),
+    }).drop("_r", "_clean", "_j", "first")
+
+
 def documents(df: DataFrame, text: str, to: str) -> DataFrame:
     """The table with the plain text of whole documents in column ``to``."""
 

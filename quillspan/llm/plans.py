@@ -20,17 +20,14 @@ def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.one_form(headers, "value", "form").select("header_id", "form").distinct()
 
 
-def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "markdown_nodes").where(F.col("kind").isin(*markup.TEXT_KINDS))
-
-
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return markup.residue(_blocks(spark, d).select("md_doc_id", "id", "text"), "text").select("md_doc_id", "id").distinct()
+    blocks = table(spark, d, "markdown_nodes").where(F.col("kind").isin(*markup.TEXT_KINDS))
+    return markup.residue(blocks.select("md_doc_id", "id", "text"), "text").select("md_doc_id", "id").distinct()
 
 
 def p2_blocks(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _blocks(spark, d).select("md_doc_id", "id", "kind", "text", "byte_start").dropDuplicates(["md_doc_id", "id"])
-    return markup.labelled(nodes, "md_doc_id", ["byte_start", "id"], "text").select("md_doc_id", "id", "kind", "plain", "marks", "label")
+    nodes = table(spark, d, "markdown_nodes").select("md_doc_id", "id", "kind", "text", "raw", "byte_start").dropDuplicates(["md_doc_id", "id"])
+    return markup.nodes(nodes, "md_doc_id", ["byte_start", "id"]).select("md_doc_id", "id", "kind", "plain", "plain_raw", "marks", "label")
 
 
 def p2_documents(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from collections import Counter
 
+from quillspan.llm import plans
 from quillspan.plans import reference
 
 
@@ -20,3 +21,18 @@ def test_repeated_document_lines(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.pattern: (r.documents, r.occurrences) for r in reference.repeated_document_lines(spark, str(tmp_path)).collect()}
     assert got == {"page # of #": (2, 3), "other": (2, 3)}
+
+
+def test_p2_blocks_takes_all_kinds_and_raw(spark, tmp_path):
+    long = "The reader stops at the first of the anchors that has no end and the caller sees what it is. " * 4
+    rows = [
+        ("a", "paragraph", long, long), ("b", "strong", "x_y", "**x_y**"), ("c", "code_fence", "a = **b\n", "```\na = **b\n```"), ("d", "inline_math", "x_5", "$x_5$"), ("e", "html_block", "<i>n</i>", "<div><i>n</i></div>"),
+        ("f", "list", None, "- **one** `a*b*`\n- two"), ("g", "table_row", None, "| **p** | q |"), ("h", "thematic_break", None, "---"), ("i", "list_item", "**one**", "- **one**"), ("j", "footnote_definition", "see it", "[^6]: see it"),
+    ]
+    df = [(1, k, kind, text, raw, n) for n, (k, kind, text, raw) in enumerate(rows)]
+    spark.createDataFrame([*df, df[0]], "md_doc_id long, id string, kind string, text string, raw string, byte_start long").write.parquet(f"{tmp_path}/markdown_nodes.parquet")
+    got = {r.id: r for r in plans.p2_blocks(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and {k: (r.plain, r.plain_raw) for k, r in got.items() if k != "a"} == {
+        "b": ("x_y", "x_y"), "c": ("a = **b\n", "```\na = **b\n```"), "d": ("x_5", "$x_5$"), "e": ("n", "n"), "f": (None, "- one `a*b*`\n- two"), "g": (None, "p | q"), "h": (None, ""), "i": ("one", "- one"), "j": ("see it", "see it"),
+    }
+    assert {k for k, r in got.items() if r.label == "bad"} == {"h"} and got["c"].marks == got["d"].marks == 0 and got["f"].marks > 0
