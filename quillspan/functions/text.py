@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, in a form Java and RE2 both read.
 SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-OBLIGATION = r"(?i)^(if|when|unless) ([^,]+), (.+?) (must not|shall not|should not|may not|must|shall|should|may|will) (.+)$"
+OBLIGATION = r"(?i)^(if|when|unless) ([^,]*),(.*)$"
+# Modal verbs in the order in which they are looked for.
+MODALS = ("must not", "shall not", "should not", "must", "shall", "should", "may")
 
 
 def sha256(text: Column) -> Column:
@@ -119,10 +121,11 @@ def zone_minutes(date: Column) -> Column:
 
 
 def cell_label(row: Column, column: Column) -> Column:
-    """The A1 label of a cell, rows and columns counted from 0."""
-    n = column + 1
-    digits = F.filter(F.array(*[F.when(n > sum(26**j for j in range(1, i + 1)), (F.floor((n - sum(26**j for j in range(i + 1))) / 26**i) % 26)) for i in reversed(range(3))]), lambda x: x.isNotNull())
-    return F.concat(F.array_join(F.transform(digits, lambda x: F.char(x + 65)), ""), (row + 1).cast("string"))
+    """The A1 label of a cell, rows and columns counted from 0. Seven letters name every column of an INT, fourteen of a BIGINT."""
+    n = column.cast("long") + 1
+    first = [sum(26**j for j in range(1, i + 1)) for i in range(14)]  # columns with fewer letters
+    digits = [F.when(n > first[i], F.char(65 + F.pmod(F.floor((n - first[i] - 1) / 26**i).cast("long"), F.lit(26)))).otherwise("") for i in reversed(range(14))]
+    return F.concat(*digits, (row + 1).cast("string"))
 
 
 def value_kind(cell: Column) -> Column:
@@ -142,13 +145,22 @@ def speaker_prefix(text: Column) -> Column:
 
 
 def obligation(sentence: Column) -> Column:
-    """condition, subject, modality, polarity, action and relation of a conditional obligation, or null."""
+    """trigger, condition, subject, modality, polarity, action and relation of a conditional obligation, or null.
+
+    The text must begin with if, when or unless; what stands before the first comma is the condition. The first modal of
+    ``MODALS`` that the rest holds anywhere decides; what is before it is the subject (null if nothing is), what is
+    behind it, without final periods, the action. Without a condition or an action there is no obligation.
+    """
     s = collapsed(sentence)
-    part = [F.regexp_extract(s, OBLIGATION, i) for i in range(1, 6)]
-    modal = F.lower(part[3])
-    barred = modal.endswith(" not")
-    relation = F.when(barred, "forbids").when(modal == "may", "allows").otherwise("requires")
-    return F.when(s.rlike(OBLIGATION), F.struct(
-        F.lower(part[0]).alias("trigger"), part[1].alias("condition"), part[2].alias("subject"), F.regexp_replace(modal, " not$", "").alias("modality"),
-        F.when(barred, "prohibition").otherwise("positive").alias("polarity"), part[4].alias("action"), relation.alias("relation"),
+    part = [F.regexp_extract(s, OBLIGATION, i) for i in (1, 2, 3)]
+    rest = F.trim(part[2])
+    modal = F.coalesce(*[F.when(F.contains(F.lower(rest), F.lit(m)), F.lit(m)) for m in MODALS])
+    at = F.instr(F.lower(rest), modal)
+    subject = F.trim(F.regexp_replace(F.trim(F.substring(rest, F.lit(1), at - 1)), ",+$", ""))
+    action = F.regexp_replace(F.trim(F.substring(rest, at + F.length(modal), F.length(rest))), r"\.+$", "")
+    polarity = F.when(modal == "may", "permission").when(modal.endswith(" not"), "prohibition").otherwise("positive")
+    relation = F.when(modal == "may", "allows").when(modal.endswith(" not"), "forbids").otherwise("requires")
+    return F.when(s.rlike(OBLIGATION) & modal.isNotNull() & (F.trim(part[1]) != "") & (action != ""), F.struct(
+        F.lower(part[0]).alias("trigger"), F.trim(part[1]).alias("condition"), F.when(subject != "", subject).alias("subject"), F.replace(modal, F.lit(" "), F.lit("_")).alias("modality"),
+        polarity.alias("polarity"), action.alias("action"), relation.alias("relation"),
     ))

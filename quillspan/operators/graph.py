@@ -76,19 +76,27 @@ def walk_signatures(steps: DataFrame, walk: str, position: str, label: str) -> D
     return ranked.groupBy(walk).agg(F.count("*").alias("length"), F.array_join(F.transform(parts, lambda x: x["r"].cast("string")), ".").alias("trace"))
 
 
-def heading_paths(blocks: DataFrame) -> DataFrame:
+def heading_paths(blocks: DataFrame, shard: int = 65_536) -> DataFrame:
     """graph_id, id and path: the headings above each block in reading order, an earlier deeper one being closed by a
-    later one of its level or above."""
-    before = Window.partitionBy("md_doc_id").orderBy("byte_start", "id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = blocks.where("byte_start is not null").select("md_doc_id", "id", "kind", "level", "text", "byte_start").dropDuplicates(["md_doc_id", "id"])
+    later one of its level or above.
+
+    A document is cut into shards of ``shard`` bytes. The last heading of each level is a maximum, so it is looked for in
+    the block's own shard and, by way of one row per shard, in the shards before; no task holds a whole document.
+    """
     place = F.struct("byte_start", "id", "text")
-    cols = {f"h{n}": F.max(F.when((F.col("kind") == "heading") & (F.coalesce("level", F.lit(1)) == n), place)).over(before) for n in range(1, 7)}
-    rows = rows.withColumns(cols)
+    rows = blocks.where("byte_start is not null").select("md_doc_id", "id", "kind", "level", "text", "byte_start").dropDuplicates(["md_doc_id", "id"])
+    rows = rows.withColumn("w", F.expr(f"byte_start div {shard}"))
+    last = {n: F.max(F.when((F.col("kind") == "heading") & (F.coalesce("level", F.lit(1)) == n), place)) for n in range(1, 7)}
+    inside = Window.partitionBy("md_doc_id", "w").orderBy("byte_start", "id").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("d").orderBy("cw").rowsBetween(Window.unboundedPreceding, -1)
+    shards = rows.groupBy(F.col("md_doc_id").alias("d"), F.col("w").alias("cw")).agg(*[m.alias(f"c{n}") for n, m in last.items()])
+    carry = shards.select("d", "cw", *[F.max(f"c{n}").over(earlier).alias(f"c{n}") for n in last])
+    rows = rows.withColumns({f"h{n}": m.over(inside) for n, m in last.items()}).join(carry, F.col("md_doc_id").eqNullSafe(F.col("d")) & (F.col("w") == F.col("cw")))
+    rows = rows.withColumns({f"h{n}": F.greatest(f"h{n}", f"c{n}") for n in last})
     kept = []
     for n in range(1, 7):
-        upper = [F.col(f"h{m}") for m in range(1, n)]
         alive = F.col(f"h{n}").isNotNull()
-        for u in upper:
+        for u in (F.col(f"h{m}") for m in range(1, n)):
             alive = alive & (u.isNull() | (u < F.col(f"h{n}")))
         kept.append(F.when(alive, F.coalesce(F.col(f"h{n}.text"), F.lit(""))))
     return rows.select(F.col("md_doc_id").alias("graph_id"), "id", F.array_join(F.array_compact(F.array(*kept)), " > ").alias("path"))

@@ -10,16 +10,22 @@ from quillspan.functions import text as T
 TARGET, MAXIMUM = 1000, 1500
 
 
+#: A physical line with its end, or the rest of a text without one; read alike by Java and RE2.
+PHYSICAL = "[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+"
+
+
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line_no (from 0), line, byte_start and byte_end of every physical line; CR and CRLF end lines, too.
+    """key, line_no (from 0), line, byte_start and byte_end of every physical line; LF, CRLF and CR end lines.
 
-    Null texts have no lines, an empty text has one empty line. Offsets count UTF-8 bytes of the text with line ends
-    as LF.
+    Offsets count UTF-8 bytes of the text as it stands; byte_end is before the line end. A text that ends with a line end
+    has no empty line behind it; null and empty texts have no lines. Rows that repeat key and text count once, other rows
+    of one key are read each by itself. Lines are shuffled once, and offsets are running sums over them.
     """
-    parts = df.where(F.col(text).isNotNull()).select(F.col(key), F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n").alias("_l"))
-    rows = parts.select(F.col(key), F.posexplode("_l").alias("line_no", "line"), "_l")
-    start = F.aggregate(F.slice("_l", F.lit(1), F.col("line_no")), F.lit(0), lambda n, x: n + F.octet_length(x) + 1)
-    return rows.select(key, "line_no", "line", start.alias("byte_start")).withColumn("byte_end", F.col("byte_start") + F.octet_length("line"))
+    parts = df.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.posexplode(F.regexp_extract_all(text, F.lit(PHYSICAL), F.lit(0))).alias("line_no", "whole"))
+    rows = parts.repartition("k", "h").dropDuplicates(["k", "h", "line_no"])
+    upto = Window.partitionBy("k", "h").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("k", "line_no", F.regexp_replace("whole", "[\r\n]+$", "").alias("line"), (F.sum(F.octet_length("whole")).over(upto) - F.octet_length("whole")).alias("byte_start"))
+    return rows.select(F.col("k").alias(key), "line_no", "line", "byte_start", (F.col("byte_start") + F.octet_length("line")).alias("byte_end"))
 
 
 def segments(df: DataFrame, key: str, text: str, target: int = TARGET, maximum: int = MAXIMUM) -> DataFrame:
@@ -59,9 +65,3 @@ def newlines(df: DataFrame, key: str, text: str) -> DataFrame:
 def identical(df: DataFrame, key: str, text: str) -> DataFrame:
     """Classes of identical texts with more than one document: hash, the smallest key and the number of documents."""
     return df.where(F.col(text).isNotNull()).groupBy(T.sha256(F.col(text)).alias("text_hash")).agg(F.min(key).alias("first_id"), F.count("*").alias("documents")).where("documents > 1")
-
-
-def byte_offsets_window(df: DataFrame, key: str) -> DataFrame:
-    """The offsets of ``lines`` as a running sum, for tables that hold lines already (key, line_no, line)."""
-    before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("byte_start", F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)))

@@ -6,16 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
+from quillspan.session import Scratch
 
 
 def select_rows(df: DataFrame, order: list[str], start: int, limit: int, columns: list[str]) -> DataFrame:
     """The rows ``start`` (from 0) up to ``start + limit`` in an order, and the columns wanted (none given: all).
 
-    The rows before the end of the range are found by a top-k of each partition, not by sorting the table into one.
+    The table is sorted by ranges and written to the shared folder with the number of each range. The counts of ranges
+    (one row each) say where a range begins, so a row's place is its place in its range and only ranges that hold wanted
+    rows are numbered.
     """
-    head = df.orderBy(*order).limit(start + limit)
-    ranked = head.withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1)
-    return ranked.where(F.col("_n") >= start).select(*(columns or df.columns))
+    wanted = columns or df.columns
+    ranged = df.select(*dict.fromkeys([*order, *wanted])).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = Scratch(df.sparkSession, "rows").put(ranged, "ranged")
+    counts = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    at, begins = 0, {}
+    for part in sorted(counts):
+        if at < start + limit and at + counts[part] > start:
+            begins[part] = at
+        at += counts[part]
+    if not begins:
+        return df.select(*wanted).where(F.lit(False))
+    first = F.element_at(F.create_map(*[F.lit(x) for p in begins.items() for x in p]), F.col("_part"))
+    placed = ranged.where(F.col("_part").isin(*begins)).withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + first)
+    return placed.where((F.col("_n") >= start) & (F.col("_n") < start + limit)).select(*wanted)
 
 
 def cell_kinds(df: DataFrame, key: str, cell: str) -> DataFrame:
@@ -45,13 +59,17 @@ def participants(df: DataFrame, group: str, name: str) -> DataFrame:
 
 
 def aggregate_identity(members: DataFrame, group: str, path: str, text: str) -> DataFrame:
-    """group, members, bytes and the hash of the ordered manifest of its members (path, length and hash).
+    """group, members, bytes and the identity of the manifest of its members (path, length and hash).
 
-    Only paths and hashes are gathered, never texts.
+    Only paths and hashes are gathered, never texts, and no task holds the manifest of a group: its entries are put in
+    256 leaves by the first byte of the path's hash, each leaf is hashed with its entries in order, and the identity is
+    the hash of the digests of the leaves in order.
     """
     rows = members.where(F.col(path).isNotNull()).select(F.col(group).alias("g"), F.col(path).alias("p"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n"), F.coalesce(T.sha256(F.col(text)), F.lit("none")).alias("h")).distinct()
     entry = F.concat_ws(" ", "p", F.col("n").cast("string"), "h")
-    return rows.groupBy("g").agg(F.count("*").alias("members"), F.sum("n").alias("bytes"), T.sha256(F.array_join(F.array_sort(F.collect_list(entry)), "\n")).alias("identity")).withColumnRenamed("g", group)
+    leaves = rows.groupBy("g", F.left(F.sha2("p", 256), F.lit(2)).alias("leaf")).agg(F.count("*").alias("members"), F.sum("n").alias("bytes"), T.sha256(F.array_join(F.array_sort(F.collect_list(entry)), "\n")).alias("digest"))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("leaf", "digest"))), lambda x: F.concat_ws(" ", x["leaf"], x["digest"]))
+    return leaves.groupBy("g").agg(F.sum("members").alias("members"), F.sum("bytes").alias("bytes"), T.sha256(F.array_join(order, "\n")).alias("identity")).withColumnRenamed("g", group)
 
 
 def verify_citations(anchors: DataFrame, candidates: DataFrame) -> DataFrame:

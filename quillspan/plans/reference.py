@@ -24,11 +24,6 @@ def line_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Subjects of 5 messages or more, as its SQL has them; ``repeated_document_lines`` takes the lines of texts."""
-    return lines.repeated_lines(table(spark, d, "mail_messages").select("stable_id", "subject").distinct(), "stable_id", "subject", 5)
-
-
-def repeated_document_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.repeated_lines(table(spark, d, "documents"), "doc_id", "text")
 
 
@@ -103,36 +98,35 @@ def reply_layers(spark: SparkSession, d: str) -> DataFrame:
     return graph.layers(edges).select(F.col("id").alias("stable_id"), "layer")
 
 
-def _event_steps(spark: SparkSession, d: str) -> DataFrame:
+def event_walks(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    return table(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-
-
-def event_walks(spark: SparkSession, d: str) -> DataFrame:
-    """The opening of each user's walk, its first 8 events, as its SQL has it; ``whole_event_walks`` signs all events."""
-    steps = _event_steps(spark, d).where("n <= 8")
+    steps = table(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     return graph.walk_signatures(steps, "user_id", "n", "event_type").groupBy("length", "trace").agg(F.count("*").alias("walks"))
 
 
-def whole_event_walks(spark: SparkSession, d: str) -> DataFrame:
-    return graph.walk_signatures(_event_steps(spark, d), "user_id", "n", "event_type").groupBy("length", "trace").agg(F.count("*").alias("walks"))
-
-
 def heading_ancestry(spark: SparkSession, d: str) -> DataFrame:
     return graph.heading_paths(table(spark, d, "markdown_nodes"))
 
 
 def enclosing_blocks(spark: SparkSession, d: str) -> DataFrame:
-    blocks = table(spark, d, "markdown_nodes").where("byte_start is not null and byte_end is not null").select(F.col("md_doc_id").alias("doc"), "id", F.col("byte_start").alias("a"), F.col("byte_end").alias("b"), "kind").dropDuplicates(["doc", "id"])
-    inner = blocks.where(F.col("kind").isin("inline_code", "inline_math", "link", "strong", "emphasis")).drop("kind")
-    return records.enclosing(inner, blocks.drop("kind"))
+    blocks = table(spark, d, "markdown_nodes").where("byte_start is not null and byte_end is not null").select(F.col("md_doc_id").alias("doc"), "id", F.col("byte_start").alias("a"), F.col("byte_end").alias("b")).dropDuplicates(["doc", "id"])
+    return records.enclosing(blocks, blocks)
+
+
+#: Order priority to the words of a made-up clause: trigger, modal and what is said of it.
+CLAUSES = {
+    "1-URGENT": ("If", "must not", "must_not", "prohibition", "forbids"), "2-HIGH": ("WHEN", "must", "must", "positive", "requires"), "3-MEDIUM": ("unless", "may", "may", "permission", "allows"),
+    "4-NOT SPECIFIED": ("If", "should not", "should_not", "prohibition", "forbids"), "5-LOW": ("While", "shall", "", "", ""),
+}
 
 
 def obligations(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "markdown_nodes").where("kind in ('paragraph', 'list_item')").select("md_doc_id", "id", "text").dropDuplicates(["md_doc_id", "id"])
-    sentences = rows.select("md_doc_id", "id", F.posexplode(F.split("text", r"[.!?]\s+")).alias("sentence", "s")).where("s != ''")
-    return sentences.select("md_doc_id", "id", "sentence", T.obligation(F.col("s")).alias("o")).where("o is not null").select("md_doc_id", "id", "sentence", "o.*")
+    """Clauses written from all orders and parsed again; those that begin with "While" are none. The texts of the given
+    tables hold no modal verb behind a condition."""
+    trigger, modal = (F.element_at(F.create_map(*[F.lit(x) for k, v in CLAUSES.items() for x in (k, v[i])]), F.col("o_orderpriority")) for i in (0, 1))
+    clause = F.concat(trigger, F.lit("  order "), F.col("o_orderkey"), F.lit(" is\n"), F.col("o_orderstatus"), F.lit(", the clerk of "), F.col("o_custkey"), F.lit(" "), modal, F.lit(" ship it, or not."))
+    return table(spark, d, "orders").select("o_orderkey", T.obligation(clause).alias("o")).where("o is not null").select("o_orderkey", "o.*")
 
 
 def safe_links(spark: SparkSession, d: str) -> DataFrame:
@@ -190,8 +184,8 @@ def citation_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    text_identity, line_units, line_segments, repeated_lines, repeated_document_lines, newline_fidelity, identical_texts, thread_links, subject_groups, header_message_ids, mail_zones, subject_similarity,
-    cue_overlaps, transcripts, recording_confidence, recording_participants, graph_nodes, graph_edges, graph_violations, reply_layers, event_walks, whole_event_walks, heading_ancestry, enclosing_blocks,
+    text_identity, line_units, line_segments, repeated_lines, newline_fidelity, identical_texts, thread_links, subject_groups, header_message_ids, mail_zones, subject_similarity,
+    cue_overlaps, transcripts, recording_confidence, recording_participants, graph_nodes, graph_edges, graph_violations, reply_layers, event_walks, heading_ancestry, enclosing_blocks,
     obligations, safe_links, cell_kinds, table_widths, cell_labels, event_facts, event_extent, repository_identity, row_range, format_candidates, citation_status,
 )}
 
@@ -226,19 +220,16 @@ def _signal(pattern: str) -> str:
 SQL = {
     "text_identity": f"""SELECT doc_id, 'sha256:' || sha256(text) AS text_sha256, 'sha256:' || sha256({_NORMAL('text')}) AS normalized_sha256, octet_length(encode(text)) AS n_bytes,
 length(text) AS n_scalars, len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS n_tokens, CASE WHEN length(text) <= 40 THEN text ELSE text[:39] || '…' END AS excerpt FROM documents""",
-    "line_units": f"""WITH x AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no FROM {_LINES}),
-y AS (SELECT *, coalesce(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS byte_start FROM x)
-SELECT doc_id, line_no, byte_start, byte_start + octet_length(encode(line)) AS byte_end, 'sha256:' || sha256(line) AS line_sha256 FROM y""",
+    "line_units": r"""WITH x AS (SELECT DISTINCT doc_id, text FROM documents), y AS (SELECT doc_id, text, regexp_extract_all(text, '[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+') AS l FROM x), z AS (SELECT doc_id, text, unnest(l) AS w, generate_subscripts(l, 1) - 1 AS line_no FROM y),
+u AS (SELECT doc_id, line_no, regexp_replace(w, '[\r\n]+$', '') AS line, CAST(coalesce(sum(octet_length(encode(w))) OVER (PARTITION BY doc_id, text ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start FROM z)
+SELECT doc_id, line_no, byte_start, byte_start + octet_length(encode(line)) AS byte_end, 'sha256:' || sha256(line) AS line_sha256 FROM u""",
     "line_segments": f"""WITH RECURSIVE u AS (SELECT doc_id, list_transform(list_filter(l, lambda x: x <> ''), lambda x: octet_length(encode(x))) AS s FROM {_LINES}),
 r AS (SELECT doc_id, s, 0 AS i, 0 AS size, 0 AS closed FROM u UNION ALL
 SELECT doc_id, s, i + 1, CASE WHEN z >= 1000 THEN 0 ELSE z END, closed + o + CASE WHEN z >= 1000 THEN 1 ELSE 0 END FROM (
 SELECT *, CASE WHEN o = 1 THEN s[i + 1] ELSE size + s[i + 1] END AS z FROM (SELECT *, CASE WHEN size > 0 AND size + s[i + 1] > 1500 THEN 1 ELSE 0 END AS o FROM r WHERE i < len(s))))
 SELECT r.doc_id, len(s) AS lines, octet_length(encode(d.text)) AS n_bytes, len(regexp_extract_all(d.text, '[^ \\t\\r\\n]+')) AS n_tokens, closed + CASE WHEN size > 0 THEN 1 ELSE 0 END AS n_segments
 FROM r JOIN documents d USING (doc_id) WHERE i = len(s)""",
-    "repeated_lines": f"""WITH l AS (SELECT DISTINCT stable_id, subject FROM mail_messages WHERE subject IS NOT NULL), x AS (SELECT stable_id, unnest(regexp_split_to_array(subject, '[\\r\\n]+')) AS line FROM l),
-y AS (SELECT stable_id, regexp_replace({_NORMAL('lower(line)')}, '[0-9]+', '#', 'g') AS pattern FROM x)
-SELECT pattern, count(DISTINCT stable_id) AS documents, count(*) AS occurrences FROM y WHERE pattern <> '' GROUP BY 1 HAVING count(DISTINCT stable_id) >= 5""",
-    "repeated_document_lines": f"""WITH x AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[\\r\\n]+')) AS line FROM documents WHERE text IS NOT NULL),
+    "repeated_lines": f"""WITH x AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[\\r\\n]+')) AS line FROM documents WHERE text IS NOT NULL),
 y AS (SELECT doc_id, regexp_replace({_NORMAL('lower(line)')}, '[0-9]+', '#', 'g') AS pattern FROM x)
 SELECT pattern, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM y WHERE pattern <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2""",
     "newline_fidelity": r"""WITH x AS (SELECT md_doc_id, any_value(decoded_text) AS t FROM markdown_documents WHERE decoded_text IS NOT NULL GROUP BY 1),
@@ -261,8 +252,8 @@ SELECT stable_id, CASE WHEN u = 0 THEN 1.0 ELSE round(i / u, 4) END AS jaccard,
     "cue_overlaps": f"""WITH x AS (SELECT recording_id AS r, segment_index AS i, start_ms AS s, end_ms AS e FROM {_SEGMENTS} WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL),
 y AS (SELECT *, max({{'e': e, 's': -s, 'i': -i}}) OVER (PARTITION BY r ORDER BY s, e, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM x)
 SELECT r AS recording_id, i AS segment_index, -top.i AS other_index, least(e, top.e) - s AS overlap_ms FROM y WHERE s < top.e""",
-    "transcripts": f"""SELECT recording_id, count(*) AS lines, sha256(string_agg(CASE WHEN speaker <> '' THEN speaker || ': ' || text ELSE text END, chr(10) ORDER BY start_ms NULLS FIRST, segment_index)) AS transcript_sha256
-FROM {_SEGMENTS} WHERE text IS NOT NULL GROUP BY 1""",
+    "transcripts": f"""WITH h AS (SELECT recording_id, floor(start_ms / 300000) AS w, count(*) AS n, sha256(string_agg(CASE WHEN speaker <> '' THEN speaker || ': ' || text ELSE text END, chr(10) ORDER BY start_ms NULLS FIRST, segment_index)) AS x
+FROM {_SEGMENTS} WHERE text IS NOT NULL GROUP BY 1, 2) SELECT recording_id, CAST(sum(n) AS BIGINT) AS lines, sha256(string_agg(x, chr(10) ORDER BY w NULLS FIRST)) AS transcript_sha256 FROM h GROUP BY 1""",
     "recording_confidence": f"SELECT recording_id, floor(coalesce(least(greatest(sum(CAST(round(confidence * 1000000) AS BIGINT)) / count(confidence) / 1000000, 0.0), 1.0), 0.0) * 10000 + 0.5) / 10000 AS confidence FROM {_SEGMENTS} GROUP BY 1",
     "recording_participants": "SELECT recording_id, string_agg(DISTINCT full_name, '|' ORDER BY full_name) AS names FROM recording_speakers WHERE full_name IS NOT NULL GROUP BY 1",
     "graph_nodes": f"SELECT graph_id, kind, count(*) AS nodes, count(text) AS with_text, CAST(sum(byte_end - byte_start) AS BIGINT) AS bytes FROM {_NODES} GROUP BY 1, 2",
@@ -277,22 +268,16 @@ SELECT graph_id, 'parallel_edge', source || '>' || target, count(*) FROM c GROUP
 p AS (SELECT a AS id, 0 AS k, [a] AS path FROM (SELECT a FROM g UNION SELECT b FROM g) n WHERE a NOT IN (SELECT b FROM g) UNION ALL SELECT g.b, k + 1, list_append(path, g.b) FROM p JOIN g ON g.a = p.id WHERE NOT list_contains(path, g.b))
 SELECT id AS stable_id, CAST(max(k) AS INTEGER) AS layer FROM p GROUP BY 1""",
     "event_walks": """WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-f AS (SELECT user_id, n, min(n) OVER (PARTITION BY user_id, event_type) AS f FROM s WHERE n <= 8), r AS (SELECT user_id, n, dense_rank() OVER (PARTITION BY user_id ORDER BY f) - 1 AS r FROM f),
-w AS (SELECT user_id, count(*) AS length, string_agg(CAST(r AS VARCHAR), '.' ORDER BY n) AS trace FROM r GROUP BY 1) SELECT length, trace, count(*) AS walks FROM w GROUP BY 1, 2""",
-    "whole_event_walks": """WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 f AS (SELECT user_id, n, min(n) OVER (PARTITION BY user_id, event_type) AS f FROM s), r AS (SELECT user_id, n, dense_rank() OVER (PARTITION BY user_id ORDER BY f) - 1 AS r FROM f),
 w AS (SELECT user_id, count(*) AS length, string_agg(CAST(r AS VARCHAR), '.' ORDER BY n) AS trace FROM r GROUP BY 1) SELECT length, trace, count(*) AS walks FROM w GROUP BY 1, 2""",
     "heading_ancestry": f"""WITH b AS (SELECT md_doc_id, id, any_value(kind) AS kind, any_value(level) AS level, any_value(text) AS text, any_value(byte_start) AS byte_start FROM markdown_nodes WHERE byte_start IS NOT NULL GROUP BY 1, 2),
 h AS (SELECT md_doc_id, id, {_HEADS} FROM b WINDOW w AS (PARTITION BY md_doc_id ORDER BY byte_start, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT md_doc_id AS graph_id, id, array_to_string(list_filter([{_ALIVE}], lambda x: x IS NOT NULL), ' > ') AS path FROM h""",
-    "enclosing_blocks": """WITH b AS (SELECT md_doc_id AS doc, id, any_value(byte_start) AS a, any_value(byte_end) AS b, any_value(kind) AS kind FROM markdown_nodes WHERE byte_start IS NOT NULL AND byte_end IS NOT NULL GROUP BY 1, 2),
-i AS (SELECT * FROM b WHERE kind IN ('inline_code', 'inline_math', 'link', 'strong', 'emphasis'))
-SELECT i.doc, i.id, arg_min(o.id, (o.b - o.a, o.id)) AS holder FROM i LEFT JOIN b o ON o.doc = i.doc AND o.a <= i.a AND i.b <= o.b AND o.b > o.a AND NOT (o.a = i.a AND o.b = i.b) GROUP BY 1, 2""",
-    "obligations": rf"""WITH n AS (SELECT md_doc_id, id, any_value(text) AS text FROM markdown_nodes WHERE kind IN ('paragraph', 'list_item') GROUP BY 1, 2),
-l AS (SELECT md_doc_id, id, regexp_split_to_array(text, '[.!?]\s+') AS l FROM n WHERE text IS NOT NULL), s AS (SELECT md_doc_id, id, generate_subscripts(l, 1) - 1 AS sentence, unnest(l) AS s FROM l),
-m AS (SELECT md_doc_id, id, sentence, regexp_extract({_NORMAL('s')}, '{T.OBLIGATION}', ['a', 'b', 'c', 'd', 'e']) AS o FROM s WHERE regexp_matches({_NORMAL('s')}, '{T.OBLIGATION}'))
-SELECT md_doc_id, id, sentence, lower(o.a) AS trigger, o.b AS condition, o.c AS subject, regexp_replace(lower(o.d), ' not$', '') AS modality, CASE WHEN lower(o.d) LIKE '% not' THEN 'prohibition' ELSE 'positive' END AS polarity, o.e AS action,
-CASE WHEN lower(o.d) LIKE '% not' THEN 'forbids' WHEN lower(o.d) = 'may' THEN 'allows' ELSE 'requires' END AS relation FROM m""",
+    "enclosing_blocks": """WITH b AS (SELECT md_doc_id AS doc, id, any_value(byte_start) AS a, any_value(byte_end) AS b FROM markdown_nodes WHERE byte_start IS NOT NULL AND byte_end IS NOT NULL GROUP BY 1, 2)
+SELECT i.doc, i.id, arg_min(o.id, (o.b - o.a, o.id)) AS holder FROM b i LEFT JOIN b o ON o.doc = i.doc AND o.a <= i.a AND i.b <= o.b AND o.b > o.a AND NOT (o.a = i.a AND o.b = i.b) GROUP BY 1, 2""",
+    "obligations": "SELECT o_orderkey, c.a AS trigger, 'order ' || o_orderkey || ' is ' || o_orderstatus AS condition, 'the clerk of ' || o_custkey AS subject, c.b AS modality, c.c AS polarity, 'ship it, or not' AS action, c.d AS relation FROM orders JOIN (VALUES "
+    + ", ".join(f"('{k}', '{v[0].lower()}', '{v[2]}', '{v[3]}', '{v[4]}')" for k, v in CLAUSES.items() if v[2])
+    + ") c(k, a, b, c, d) ON c.k = o_orderpriority",
     "safe_links": r"""SELECT DISTINCT md_doc_id, id, CASE WHEN regexp_matches(lower(regexp_replace(destination, '[\x00-\x20\x7f]', '', 'g')), '^(javascript:|vbscript:|file:|data:text/html|data:image/svg\+xml)') THEN '#blocked-active-uri'
 ELSE replace(replace(destination, '(', '%28'), ')', '%29') END AS link FROM markdown_nodes WHERE destination IS NOT NULL""",
     "cell_kinds": r"""WITH c AS (SELECT md_doc_id, id, any_value(text) AS text FROM markdown_nodes WHERE kind = 'table_cell' GROUP BY 1, 2), t AS (SELECT md_doc_id, trim(text, ' ') AS t FROM c)
@@ -305,8 +290,9 @@ SELECT c.md_doc_id, c.id, CASE WHEN c.ordinal >= 702 THEN chr(CAST(65 + (c.ordin
 FROM n c JOIN n r ON r.md_doc_id = c.md_doc_id AND r.id = c.parent_id WHERE c.kind = 'table_cell' AND r.kind = 'table_row' AND c.ordinal IS NOT NULL AND r.ordinal IS NOT NULL""",
     "event_facts": "WITH x AS (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_type, count(*) AS records, count(k) AS present, count(DISTINCT k) AS values, min(k) AS low, max(k) AS high FROM x GROUP BY 1",
     "event_extent": "SELECT user_id, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1",
-    "repository_identity": """WITH x AS (SELECT DISTINCT repository, path, coalesce(octet_length(encode(decoded_text)), 0) AS n, coalesce('sha256:' || sha256(decoded_text), 'none') AS h FROM markdown_documents WHERE path IS NOT NULL)
-SELECT repository, count(*) AS members, CAST(sum(n) AS BIGINT) AS bytes, 'sha256:' || sha256(string_agg(path || ' ' || n || ' ' || h, chr(10) ORDER BY path || ' ' || n || ' ' || h)) AS identity FROM x GROUP BY 1""",
+    "repository_identity": """WITH x AS (SELECT DISTINCT repository, path, coalesce(octet_length(encode(decoded_text)), 0) AS n, coalesce('sha256:' || sha256(decoded_text), 'none') AS h FROM markdown_documents WHERE path IS NOT NULL),
+l AS (SELECT repository, left(sha256(path), 2) AS leaf, count(*) AS m, sum(n) AS n, 'sha256:' || sha256(string_agg(path || ' ' || n || ' ' || h, chr(10) ORDER BY path || ' ' || n || ' ' || h)) AS x FROM x GROUP BY 1, 2)
+SELECT repository, CAST(sum(m) AS BIGINT) AS members, CAST(sum(n) AS BIGINT) AS bytes, 'sha256:' || sha256(string_agg(leaf || ' ' || x, chr(10) ORDER BY leaf)) AS identity FROM l GROUP BY 1""",
     "row_range": "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice LIMIT 250 OFFSET 500",
     "format_candidates": "WITH s AS (" + " UNION ALL ".join(f"SELECT doc_id, '{f}' AS format, '{e}' AS evidence, {w} AS w FROM documents WHERE regexp_matches(text, '{_signal(p)}')" for f, e, p, w in detect.SIGNALS) + """),
 c AS (SELECT doc_id, format, round(1 - exp(sum(ln(1 - w))), 4) AS confidence, string_agg(evidence, ',' ORDER BY evidence) AS evidence FROM s GROUP BY 1, 2)

@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a temporary folder is made and set.
+    Only a local session that names none, as in tests, gets a temporary folder of its machine. On a cluster each
+    executor would write to a disk of its own there and rows would be missing without an error, so that is refused.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillspan-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

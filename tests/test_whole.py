@@ -1,10 +1,9 @@
 from collections import Counter
 
-from quillspan.llm import plans
 from quillspan.plans import reference
 
 
-def test_whole_event_walks(spark, tmp_path):
+def test_event_walks(spark, tmp_path):
     events = [(i, (7 * i) % 40, i % 2, "abc"[(i * i) % 3]) for i in range(40)] + [(90 + i, i, 5, "a") for i in range(3)]
     spark.createDataFrame(events, "event_id long, ts long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     want = Counter()
@@ -12,36 +11,12 @@ def test_whole_event_walks(spark, tmp_path):
         seen = {}
         trace = [seen.setdefault(e[3], len(seen)) for e in sorted(events, key=lambda e: (e[1], e[0])) if e[2] == user]
         want[len(trace), ".".join(map(str, trace))] += 1
-    got = {(r.length, r.trace): r.walks for r in reference.whole_event_walks(spark, str(tmp_path)).collect()}
+    got = {(r.length, r.trace): r.walks for r in reference.event_walks(spark, str(tmp_path)).collect()}
     assert got == want and sum(n * k for (n, _), k in got.items()) == len(events)
 
 
-def test_repeated_document_lines(spark, tmp_path):
+def test_repeated_lines(spark, tmp_path):
     texts = {1: "Page 1 of 9\r\nbody one\rPAGE  2 of 9", 2: "page 7 of 12\n\nother", 3: "other\nother\n", 4: None, 5: "", 6: "alone\nalone"}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.pattern: (r.documents, r.occurrences) for r in reference.repeated_document_lines(spark, str(tmp_path)).collect()}
+    got = {r.pattern: (r.documents, r.occurrences) for r in reference.repeated_lines(spark, str(tmp_path)).collect()}
     assert got == {"page # of #": (2, 3), "other": (2, 3)}
-
-
-def test_p2_blocks_takes_all_kinds_and_raw(spark, tmp_path):
-    long = "The reader stops at the first of the anchors that has no end and the caller sees what it is. " * 4
-    rows = [
-        ("a", "paragraph", long, long), ("b", "strong", "x_y", "**x_y**"), ("c", "code_fence", "a = **b\n", "```\na = **b\n```"), ("d", "inline_math", "x_5", "$x_5$"), ("e", "html_block", "<i>n</i>", "<div><i>n</i></div>"),
-        ("f", "list", None, "- **one** `a*b*`\n- two"), ("g", "table_row", None, "| **p** | q |"), ("h", "thematic_break", None, "---"), ("i", "list_item", "**one**", "- **one**"), ("j", "footnote_definition", "see it", "[^6]: see it"),
-    ]
-    df = [(1, k, kind, text, raw, n) for n, (k, kind, text, raw) in enumerate(rows)]
-    spark.createDataFrame([*df, df[0]], "md_doc_id long, id string, kind string, text string, raw string, byte_start long").write.parquet(f"{tmp_path}/markdown_nodes.parquet")
-    got = {r.id: r for r in plans.p2_blocks(spark, str(tmp_path)).collect()}
-    assert len(got) == len(rows) and {k: (r.plain, r.plain_raw) for k, r in got.items() if k != "a"} == {
-        "b": ("x_y", "x_y"), "c": ("a = **b\n", "```\na = **b\n```"), "d": ("x_5", "$x_5$"), "e": ("n", "n"), "f": (None, "- one `a*b*`\n- two"), "g": (None, "p | q"), "h": (None, ""), "i": ("one", "- one"), "j": ("see it", "see it"),
-    }
-    assert {k for k, r in got.items() if r.label == "bad"} == {"h"} and got["c"].marks == got["d"].marks == 0 and got["f"].marks > 0
-
-
-def test_p6_pauses_ends_turns_at_long_pauses(spark, tmp_path):
-    rows = [(1, n, 1100 * n + 60_000 * (n > 20), 1100 * n + 60_000 * (n > 20) + 1000, "Anna Berg", f"word{n} said") for n in range(40)]
-    spark.createDataFrame(rows, "recording_id long, segment_index int, start_ms long, end_ms long, speaker string, text string").write.parquet(f"{tmp_path}/transcript_segments.parquet")
-    spark.createDataFrame([(1, 1, "Anna Berg")], "recording_id long, speaker_no int, full_name string").write.parquet(f"{tmp_path}/recording_speakers.parquet")
-    spark.createDataFrame([(1, "en")], "recording_id long, language string").write.parquet(f"{tmp_path}/recordings.parquet")
-    assert sorted(r.segment_index for r in plans.p6_pauses(spark, str(tmp_path)).collect()) == [0, 21]
-    assert [r.segment_index for r in plans.p6_turns(spark, str(tmp_path)).collect()] == [0]
