@@ -2,7 +2,9 @@
 
 Characters are mapped back to the bytes they would be in a legacy encoding. An automaton over the structure of UTF-8
 finds maximal runs of well-formed multibyte sequences among these bytes, and only these runs are decoded; this is
-repeated for text that was garbled more than once. Runs of UTF-16 units whose bytes read as plain text are found the
+repeated until nothing is left to decode. Where runs fit several encodings, each is followed to its end and the one that
+leaves the shortest text wins, as a right step joins more characters than a wrong one (of equals, the one with the
+fewest capitals and controls within words). Runs of UTF-16 units whose bytes read as plain text are found the
 same way. A legacy text read in another legacy encoding has no multibyte structure; for it the byte mapping is kept
 and the score of character pairs, counted over all rows, decides between the text as it stands and as it would read.
 Replacement characters show that text was lost and can't be restored.
@@ -21,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Encodings that UTF-8 is mistaken for, and pairs (read as, truly) of legacy encodings.
-WRONG = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r")
+WRONG = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp1250", "iso8859_2", "iso8859_15", "cp866")
+#: Encodings with two bytes a character that UTF-8 is mistaken for.
+WRONG_DOUBLE = ("gbk", "cp932", "big5", "euc_kr")
 SWAPS = (
     ("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("cp1251", "cp1252"), ("cp1250", "cp1252"), ("koi8_r", "cp1252"),
     ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp1251", "koi8_r"), ("koi8_r", "cp1251"),
@@ -29,13 +33,12 @@ SWAPS = (
 #: Greek and Cyrillic letters that stand for Latin ones in disguised words; alone they are no sign of a wrong encoding.
 _ALIKE = re.compile("[ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοАВЕЅІЈКМНОРСТУХаеорсухѕіј]+\\Z")
 _LATIN = re.compile("[A-Za-z]")
-ROUNDS = 4
-#: Gains in log probability: of all words of a text garbled as a whole; of a word that counts in a text garbled in part,
-#: and of all such words (a quarter of it in a text of few words).
+#: Gains in log probability: of all words of a text garbled as a whole; of a word that counts in a text garbled in part.
+#: All such words together must gain ``WORD_SCORE`` and ``CHANCE_SCORE`` times the logarithm of the number of words, as
+#: every word is one more chance for a word to look garbled.
 SWAP_SCORE = 4.0
 WORD_SCORE = 6.0
-PART_SCORE = 24.0
-FEW_WORDS = 12
+CHANCE_SCORE = 3.0
 #: Texts with these are left out when pairs are counted: UTF-8 read as a legacy encoding, lost characters.
 _NOT_SOUND = "[ÂÃ][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|â€|├|√[^ ]|Г[^ а-яА-Я]|\ufffd"
 
@@ -44,7 +47,7 @@ _CODE = re.compile(r"(?<!`)(`+)(?!`)([^\n]*?[^`\n])\1(?!`)")
 #: What a decoded run may hold: letters and signs of scripts in use, not any code point.
 _USUAL = re.compile(
     "[\x80-\x9f -ſ̀-ͯΆ-ώЀ-џҐґ‐-”†-…‰‹›⁰-ₜ€№™←-↓∀-⋿①-⓿─-◿☀-➿"
-    "　-ヿ一-鿿가-힣豈-﫿︎️﻿＀-￯\U0001d400-\U0001d7ff\U0001f000-\U0001faff]+\\Z"
+    "　-ヿ一-鿿가-힣\uf900-\ufaff︎️﻿＀-￯\U0001d400-\U0001d7ff\U0001f000-\U0001faff]+\\Z"
 )
 _TEXT = re.compile(r"[A-Za-z0-9 .,;:!?'\"()\[\]{}<>/_=*#|`~&%$@+\-\r\n\t]")
 
@@ -84,33 +87,78 @@ def _decoded(run: str, codec: str) -> str:
     return bytes(table[c] for c in run).decode("utf-8")
 
 
+def _plausible(out: str, codec: str) -> bool:
+    """Whether a decoded run holds characters in use, or such that the same mistake may have made of them before."""
+    return all(c in _bytes(codec) or _USUAL.match(c) for c in out)
+
+
 def _evidence(text: str, codec: str) -> int:
     """How many characters of a text say that it was UTF-8 read as this encoding."""
     points = 0
     for m in _automaton(codec).finditer(text):
         out = _decoded(m[0], codec)
-        if _USUAL.match(out) and not _ALIKE.match(m[0]):
+        if _plausible(out, codec) and not _ALIKE.match(m[0]):
             letters = sum(c.isalpha() for c in out)
-            points += letters + (len(out) - letters if codec == "cp1252" or len(m[0]) >= 3 * len(out) else 0)
+            points += letters + (len(out) - letters if codec == "cp1252" or 2 * len(m[0]) >= 5 * len(out) else 0)
     return points
 
 
-def undo(text: str) -> tuple[str, str | None]:
-    """The text with runs decoded, and the encoding they were read as, or None."""
-    found = None
-    for _ in range(ROUNDS):
-        points, codec = max(((_evidence(text, c), -i) for i, c in enumerate(WRONG)), default=(0, 0))
-        if points <= 0:
-            break
-        codec = WRONG[-codec]
-        found = found or codec
+_ODD = re.compile("(?<=[a-zà-öø-ÿ])[A-ZÀ-ÖØ-Þ]|[\x80-\x9f\ue000-\uf8ff]")
+
+
+def _step(text: str, codec: str) -> str:
+    def fix(m: re.Match[str]) -> str:
+        out = _decoded(m[0], codec)
+        return out if _plausible(out, codec) else m[0]
+
+    return _automaton(codec).sub(fix, text)
+
+
+def chain(sample: str) -> list[str]:
+    """The encodings to undo one after the other. Every step shortens the text, so the search ends."""
+    known: dict[str, tuple[int, int, list[str]]] = {}
+
+    def best(text: str) -> tuple[int, int, list[str]]:
+        if text not in known:
+            found = sorted(((-p, i) for i, c in enumerate(WRONG) if (p := _evidence(text, c)) > 0))
+            ends = [(*best(_step(text, WRONG[i])), p, i) for p, i in found]
+            size, odd, rest, _, i = min(ends, key=lambda e: (e[0], e[1], e[3], e[4]), default=(len(text), len(_ODD.findall(text)), [], 0, -1))
+            known[text] = size, odd, [WRONG[i], *rest] if ends else []
+        return known[text]
 
-        def fix(m: re.Match[str], codec: str = codec) -> str:
-            out = _decoded(m[0], codec)
-            return out if _USUAL.match(out) else m[0]
+    return best(sample)[2]
+
+
+def undo(text: str, sample: str | None = None) -> tuple[str, str | None]:
+    """The text with runs decoded, and the encoding they were read as last, or None. sample: the part that is judged."""
+    codecs = chain(text if sample is None else sample)
+    for codec in codecs:
+        text = _step(text, codec)
+    return text, codecs[0] if codecs else None
+
+
+_EAST = re.compile("[\u3000-\u9fff\uac00-\ud7a3\uff61-\uff9f]")
+_EAST_RUN = re.compile("(?P<before>[A-Za-z]?)(?P<run>[^\x00-\x7f]+)(?P<after>(?=[A-Za-z]))?")
+
+
+def _double(text: str) -> tuple[str, str | None]:
+    """Runs that are well-formed UTF-8 in an encoding with two bytes a character; one sequence alone counts inside a word."""
+    kind = None
+
+    def fix(m: re.Match[str]) -> str:
+        nonlocal kind
+        for codec in WRONG_DOUBLE:
+            try:
+                out = m["run"].encode(codec).decode("utf-8")
+            except UnicodeError:
+                continue
+            many = [c for c in out if c > "\x7f"]
+            if many and _USUAL.match("".join(many)) and out != m["run"] and all(" " <= c for c in out) and (len(many) > 1 or m["before"] or m["after"] is not None):
+                kind = kind or codec
+                return m["before"] + out
+        return m[0]
 
-        text = _automaton(codec).sub(fix, text)
-    return text, found
+    return _EAST_RUN.sub(fix, text), kind
 
 
 _WIDE = re.compile("[Ā-퟿-\U0010ffff]{4,}")
@@ -188,7 +236,9 @@ class Mender:
             wide, hit = _wide(bare) if _WIDE.search(sample) else (bare, False)
             if hit:
                 kind, out = "utf-16", wide
-            fixed, codec = undo(out) if any(_evidence(sample, c) > 0 for c in WRONG) else (out, None)
+            if kind is None and _EAST.search(sample):
+                out, kind = _double(bare)
+            fixed, codec = undo(out, sample if out is bare or kind is None else None)
             if codec:
                 kind, out = kind or codec, fixed
             if kind is None:
@@ -197,7 +247,7 @@ class Mender:
                     for i, gain, _ in self.swap_score(token):
                         gains[i] += gain
                         strong[i] += gain if gain >= WORD_SCORE else 0
-                part = PART_SCORE if len(tokens) > FEW_WORDS else PART_SCORE / 4
+                part = WORD_SCORE + CHANCE_SCORE * math.log(len(tokens))
                 i = max(range(len(SWAPS)), key=lambda i: max(gains[i], strong[i] - part))
                 if gains[i] >= SWAP_SCORE or strong[i] >= part:
                     read, true = SWAPS[i]
