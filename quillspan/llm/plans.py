@@ -44,18 +44,16 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return turns.openings(table(spark, d, "transcript_segments"), table(spark, d, "recording_speakers"), table(spark, d, "recordings"))
+    """The openings of the operator's turns except those at pauses, which are no cases by definition."""
+    found = turns.openings(table(spark, d, "transcript_segments"), table(spark, d, "recording_speakers"), table(spark, d, "recordings"))
+    return found.where("cause in ('first', 'person')").select("recording_id", "segment_index")
 
 
 def p6_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Turns that end at another person and at a pause above the 95 % quantile of the recording's own pauses."""
     return turns.turns(table(spark, d, "transcript_segments"), table(spark, d, "recording_speakers"), table(spark, d, "recordings"))
 
 
-def p6_pauses(spark: SparkSession, d: str) -> DataFrame:
-    """Turns that also end at a pause above the 95 % quantile of the recording's own pauses."""
-    return turns.turns(table(spark, d, "transcript_segments"), table(spark, d, "recording_speakers"), table(spark, d, "recordings"), pause=0.95)
-
-
 def _garbled(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "markdown_documents").select(F.lit("markdown_documents").alias("record_table"), F.col("md_doc_id").alias("record_id"), F.col("decoded_text").alias("text"))
     headers = table(spark, d, "email_headers").select(F.lit("email_headers").alias("record_table"), F.col("header_id").alias("record_id"), F.col("decoded_value").alias("text"))
@@ -100,7 +98,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_documents": p2_documents, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_turns": p6_turns, "p6_pauses": p6_pauses, "p7_found": p7_found, "p7_restored": p7_restored,
+    "p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_documents": p2_documents, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p7_restored": p7_restored,
     "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores,
 }
 SQL = {"p3_found": "SELECT DISTINCT md_doc_id FROM markdown_documents WHERE length(decoded_text) > 4000"}

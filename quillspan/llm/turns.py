@@ -3,8 +3,8 @@
 A sweep along the start times takes the segments of a recording in order; its state, the person speaking and the last
 words said, is carried from time shard to time shard, so that no task holds a whole recording. Times, labels, sound
 notes and hesitation sounds are cut from the text; what a rolling caption repeats is removed where the end of one
-segment is the beginning of the next. A turn ends where the person changes and, if wanted, at a pause longer than a
-quantile of the recording's own pauses.
+segment is the beginning of the next, and a segment that only repeats is dropped unless its person is another. A turn
+ends where the person changes and at a pause longer than a quantile of the recording's own pauses; ``cause`` tells which.
 """
 
 from __future__ import annotations
@@ -16,8 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.session import Scratch
+
 SHARD_MS = 300_000
 MIN_PAUSE_MS = 1_500
+#: The quantile of a recording's pauses above which a pause ends a turn.
+PAUSE = 0.95
 
 _TIME = re.compile(r"(?:\[\s*{0}\s*\]|\(\s*{0}\s*\)|<\s*{0}\s*>|(?<![\w.:]){0}(?![\w:]))(?:\s*-->)?(?:\s+[-–—](?=\s|$))?".format(r"\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"))
 _NOTE = re.compile(r"\[[^\[\]]*\]|\([^()\d]{1,40}\)|\{[^{}]*\}|\*[^*\n]{1,40}\*|<[^<>]*>|♪[^♪]*♪|[♪♫]+")
@@ -30,6 +34,12 @@ _LABEL = re.compile(
     rf"\s*(?:>>+|[-–—](?=\s))?\s*(?:<v(?:\.[\w.]+)?\s+(?P<v>[^<>]+)>|\[(?P<b>[^\[\]]+)\](?:\s*[:–—-](?=\s|$))?|(?P<n>{_NAME}(?:,?\s+{_NAME}|[ _-]\d+){{0,3}}(?:\s*\([^()]*\))?)\s*(?::(?!\d)|\s[-–—])(?=\s|$))"
 )
 _SPOKEN = re.compile(r"[^\W_]")
+#: A label has one of these behind or around it, a sound note one of those.
+_MARK = re.compile("[:<\\[–—-]")
+_NOTED = re.compile("[\\[({*<♪♫]")
+_DASH = re.compile(r"^\s*(?:>>+|[-–—](?=\s))")
+_SPACED = re.compile(r"\s+([,.;:!?…])")
+_LEADING = re.compile(r"^[\s,.;:…-]+(?=\w)")
 
 
 def label_key(label: str | None) -> str | None:
@@ -58,31 +68,30 @@ def name_keys(name: str | None, number: int | None) -> list[str]:
 
 def labelled(text: str | None) -> tuple[str | None, str, str | None]:
     """(key of a label at the beginning or None, the text without times, the text behind the label)."""
-    s = _TIME.sub(" ", text or "")
-    m = _LABEL.match(s)
+    s = text or ""
+    if ":" in s:
+        s = _TIME.sub(" ", s)
+    m = _LABEL.match(s) if _MARK.search(s) else None
     key = label_key(m["v"] or m["b"] or m["n"]) if m else None
     return key, s, s[m.end() :] if key else None
 
 
 def spoken(s: str, german: bool) -> str:
     """Text without sound notes and hesitations."""
-    s = _NOTE.sub(" ", s)
-    if german:
-        s = _GERMAN_ER.sub("\x00", s)
-    s = _HESITATION.sub(" ", s)
-    if german:
-        s = s.replace("\x00", "er")
-    s = re.sub(r"^\s*(?:>>+|[-–—](?=\s))", " ", s)
-    s = re.sub(r"\s+([,.;:!?…])", r"\1", re.sub(r"\s+", " ", s)).strip()
-    s = re.sub(r"^[\s,.;:…-]+(?=\w)", "", s)
+    if _NOTED.search(s):
+        s = _NOTE.sub(" ", s)
+    if german and "er" in s.lower():
+        s = _HESITATION.sub(" ", _GERMAN_ER.sub("\x00", s)).replace("\x00", "er")
+    else:
+        s = _HESITATION.sub(" ", s)
+    s = _SPACED.sub(r"\1", " ".join(_DASH.sub(" ", s).split()))
+    s = _LEADING.sub("", s)
     return s if _SPOKEN.search(s) else ""
 
 
 def overlap(before: str, after: str) -> int:
-    """Words of ``after`` that repeat the end of ``before``: the longest suffix that is a prefix, of two words or more,
-    or all of a caption that is already said."""
-    a = [w.strip(".,;:!?…").casefold() for w in before.split()]
-    b = [w.strip(".,;:!?…").casefold() for w in after.split()]
+    """Words of ``after`` that repeat the end of ``before``: the longest suffix that is a prefix, of two words or more."""
+    a, b = (re.sub("[.,;:!?…]", "", x).casefold().split(" ") if x else [] for x in (before, after))
     fail, k = [0] * len(b), 0
     for i in range(1, len(b)):
         while k and b[i] != b[k]:
@@ -107,7 +116,7 @@ def _people(speakers: DataFrame, recording: str, number: str, name: str) -> Data
 
 
 def segments(df: DataFrame, speakers: DataFrame, languages: DataFrame | None = None) -> DataFrame:
-    """The segments in which something is said, in clean text with their person.
+    """The segments in which something is said, in clean text with their person, as a table in the shared folder.
 
     df: recording_id, segment_index, start_ms, end_ms, speaker, text; speakers: recording_id, speaker_no, full_name;
     languages: recording_id, language. Returns rec, i, s, e, w (shard), person and said. Repeated segments count once.
@@ -134,11 +143,12 @@ def segments(df: DataFrame, speakers: DataFrame, languages: DataFrame | None = N
     known = parsed.join(one, ["rec", "by_speaker"], "left").join(two, ["rec", "by_text"], "left")
     said = F.when(F.col("person_text").isNotNull(), F.col("bare")).otherwise(F.col("said"))
     known = known.select("rec", "i", "s", "e", F.expr(f"(s - pmod(s, {SHARD_MS})) div {SHARD_MS}").alias("w"), F.coalesce("person_speaker", "person_text").alias("person"), said.alias("said"))
-    return known.where("said != ''")
+    return Scratch(df.sparkSession, "turns").put(known.where("said != ''"), "said")  # parsing is dear and its result is read twice
 
 
-def _swept(rows: DataFrame, pause: float | None) -> DataFrame:
-    """Adds who (the person going on), opens (a turn) and before (the words said last)."""
+def _swept(rows: DataFrame, pause: float) -> DataFrame:
+    """The segments that say something new or by someone else, with who (the person going on), fresh (the words not
+    said before) and cause: ``first``, ``person`` or ``pause`` where a turn opens, else null."""
     inside = Window.partitionBy("rec", "w").orderBy("s", "i")
     upto, prior = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
     shards = rows.groupBy("rec", "w").agg(
@@ -154,46 +164,60 @@ def _swept(rows: DataFrame, pause: float | None) -> DataFrame:
     rows = rows.withColumns({
         "who": F.coalesce(F.last("person", ignorenulls=True).over(upto), "c_person"),
         "was": F.coalesce(F.last("person", ignorenulls=True).over(prior), "c_person"),
-        "head": F.row_number().over(inside) == 1,
+        "head": (F.row_number().over(inside) == 1) & F.col("c_first"),
         "before": F.coalesce(F.lag("said").over(inside), "c_said"),
         "gap": F.col("s") - F.greatest(F.max(F.coalesce("e", "s")).over(prior), F.col("c_end")),
     })
-    opens = (F.col("head") & F.col("c_first")) | ~F.col("who").eqNullSafe(F.col("was"))
-    if pause is not None:
-        limits = rows.where("gap > 0").groupBy("rec").agg(F.greatest(F.percentile_approx("gap", pause), F.lit(MIN_PAUSE_MS)).alias("limit")).withColumnRenamed("rec", "lrec")
-        rows = rows.join(limits, F.col("rec").eqNullSafe(F.col("lrec")), "left").drop("lrec")
-        opens = opens | F.coalesce(F.col("gap") > F.col("limit"), F.lit(False))
-    return rows.withColumn("opens", opens)
 
+    @F.pandas_udf("string")
+    def unsaid(said: pd.Series, before: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else " ".join(a.split(" ")[overlap(b, a) :]) for a, b in zip(said, before)])
 
-def openings(df: DataFrame, speakers: DataFrame, languages: DataFrame | None = None, pause: float | None = None) -> DataFrame:
-    """recording_id and segment_index of the segments that open a turn.
+    def words(text: str) -> Column:
+        return F.lower(F.regexp_replace(text, "[.,;:!?…]", ""))
 
-    pause: the quantile of a recording's pauses above which a pause ends a turn; None for person changes alone.
-    """
-    return _swept(segments(df, speakers, languages), pause).where("opens").select(F.col("rec").alias("recording_id"), F.col("i").alias("segment_index"))
+    # only where the first two words were said before is there an overlap to look for
+    again = F.contains(words("before"), F.substring_index(words("said"), " ", 2)) & F.contains(F.col("said"), F.lit(" "))
+    rows = rows.withColumn("again", F.coalesce(again, F.lit(False)))
+    rows = rows.withColumn("fresh", F.coalesce(unsaid(F.when(F.col("again"), F.col("said")), F.when(F.col("again"), F.col("before"))), "said"))
+    rows = rows.where(F.col("head") | ~F.col("who").eqNullSafe(F.col("was")) | (F.col("fresh") != "")).drop("again", "before", "said", "c_said")
+    limits = rows.where("gap > 0").groupBy(F.col("rec").alias("lrec")).agg(F.greatest(F.percentile_approx("gap", pause), F.lit(MIN_PAUSE_MS)).alias("limit"))
+    rows = rows.join(limits, F.col("rec").eqNullSafe(F.col("lrec")), "left")
+    cause = F.when(F.col("head"), "first").when(~F.col("who").eqNullSafe(F.col("was")), "person").when(F.col("gap") > F.col("limit"), "pause")
+    return rows.withColumn("cause", cause).select("rec", "w", "s", "i", "e", "who", "fresh", "cause")
 
 
-def turns(df: DataFrame, speakers: DataFrame, languages: DataFrame | None = None, pause: float | None = None) -> DataFrame:
-    """Clean turns: recording_id, turn_start_ms, segment_index (of the opening), speaker_no, turn_end_ms, segments, text.
+def openings(df: DataFrame, speakers: DataFrame, languages: DataFrame | None = None, pause: float = PAUSE) -> DataFrame:
+    """recording_id, segment_index and cause of the segments that open a turn.
 
-    speaker_no is null until a recording first names someone. The order of turns is that of turn_start_ms.
+    cause: ``first`` of the recording, ``person`` (another than before) or ``pause`` (longer than the quantile ``pause``
+    of the recording's own pauses, and than ``MIN_PAUSE_MS``).
     """
     rows = _swept(segments(df, speakers, languages), pause)
+    return rows.where("cause is not null").select(F.col("rec").alias("recording_id"), F.col("i").alias("segment_index"), "cause")
 
-    @F.pandas_udf("string")
-    def fresh(said: pd.Series, before: pd.Series, opens: pd.Series) -> pd.Series:
-        return pd.Series([" ".join(s.split()[overlap(b, s) :]) if b and not o else s for s, b, o in zip(said, before, opens)])
 
+def turns(df: DataFrame, speakers: DataFrame, languages: DataFrame | None = None, pause: float | None = PAUSE) -> DataFrame:
+    """Clean turns: recording_id, segment_index (of the opening), part, turn_start_ms, cause, speaker_no, part_end_ms,
+    segments and text.
+
+    A turn has one row for each time shard in which it says something, parts being counted from 0 in order of time, so
+    that no task gathers a turn of any length. speaker_no is null until a recording first names someone. The order of
+    turns is that of turn_start_ms. pause None: turns end at another person alone.
+    """
+    rows = _swept(segments(df, speakers, languages), PAUSE if pause is None else pause)
+    opens = F.col("cause").isNotNull() if pause is not None else F.col("cause").isin("first", "person")
     inside = Window.partitionBy("rec", "w").orderBy("s", "i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select("rec", "w", "s", "i", "e", "who", F.when(F.col("opens"), F.struct("s", "i")).alias("o"), fresh("said", "before", "opens").alias("said"))
+    rows = rows.withColumn("o", F.when(opens, F.struct("s", "i", "cause")))
+    rows = Scratch(df.sparkSession, "turns").put(rows, "opened")  # read for the carried openings and for the parts
     shards = rows.groupBy("rec", "w").agg(F.max("o").alias("o"))
     earlier = Window.partitionBy("rec").orderBy("w").rowsBetween(Window.unboundedPreceding, -1)
     carry = shards.select(F.col("rec").alias("crec"), F.col("w").alias("cw"), F.max("o").over(earlier).alias("c_o"))
     rows = rows.join(carry, F.col("rec").eqNullSafe(F.col("crec")) & (F.col("w") == F.col("cw")))
     rows = rows.withColumn("turn", F.coalesce(F.max("o").over(inside), "c_o"))
-    parts: Column = F.array_sort(F.collect_list(F.struct("s", "i", "said")))
-    out = rows.groupBy("rec", "turn").agg(F.max(F.struct("s", "who")).getField("who").alias("speaker_no"), F.max(F.coalesce("e", "s")).alias("end"), F.count("*").alias("segments"), parts.alias("parts"))
-    words = F.filter(F.transform("parts", lambda p: p["said"]), lambda x: x != "")
-    start = F.when(F.col("turn.s") > -(2**60), F.col("turn.s"))
-    return out.select(F.col("rec").alias("recording_id"), start.alias("turn_start_ms"), F.col("turn.i").alias("segment_index"), "speaker_no", F.when(F.col("end") > -(2**60), F.col("end")).alias("turn_end_ms"), "segments", F.array_join(words, " ").alias("text"))
+    parts: Column = F.array_sort(F.collect_list(F.struct("s", "i", "fresh")))
+    out = rows.groupBy("rec", "turn", "w").agg(F.max(F.struct("s", "who")).getField("who").alias("speaker_no"), F.max(F.coalesce("e", "s")).alias("end"), F.count("*").alias("segments"), parts.alias("parts"))
+    text = F.array_join(F.filter(F.transform("parts", lambda p: p["fresh"]), lambda x: x != ""), " ")
+    part = F.row_number().over(Window.partitionBy("rec", "turn").orderBy("w")) - 1
+    start, end = (F.when(F.col(c) > -(2**60), F.col(c)) for c in ("turn.s", "end"))
+    return out.select(F.col("rec").alias("recording_id"), F.col("turn.i").alias("segment_index"), part.alias("part"), start.alias("turn_start_ms"), F.col("turn.cause").alias("cause"), "speaker_no", end.alias("part_end_ms"), "segments", text.alias("text"))

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspan.llm import lookalike, markup, mix, mojibake, spam, split, tokens, turns
 
@@ -139,12 +140,17 @@ def test_turns(spark):
     ]
     df = spark.createDataFrame(rows, "recording_id long, segment_index int, start_ms long, end_ms long, speaker string, text string").selectExpr("*", "1 as person", "2 as w")
     names = spark.createDataFrame(people, "recording_id long, speaker_no int, full_name string")
-    opened = {tuple(r) for r in turns.openings(df, names).collect()}
+    opened = {tuple(r)[:2] for r in turns.openings(df, names).where("cause != 'pause'").collect()}
     assert opened == {(1, 0), (1, 3), (1, 5), (2, 0), (2, 2), (3, 0), (None, 0)}
-    got = {(r.recording_id, r.segment_index): (r.speaker_no, r.segments, r.text) for r in turns.turns(df, names).collect()}
+    got = {(r.recording_id, r.segment_index): (r.speaker_no, r.segments, r.text) for r in turns.turns(df, names, pause=None).groupBy("recording_id", "segment_index", "speaker_no").agg(F.sum("segments").alias("segments"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), " ").alias("text")).collect()}
     assert got[1, 0] == (2, 2, "hello there my friend") and got[1, 3] == (1, 2, "Okay. so it goes") and got[1, 5] == (2, 2, "Yes. no") and got[2, 0][0] is None
     assert turns.openings(df.where("recording_id > 8"), names).count() == 0
-    assert (1, 4) in {tuple(r) for r in turns.openings(df, names, pause=0.1).collect()}
+    assert (1, 4, "pause") in {tuple(r) for r in turns.openings(df, names, pause=0.1).collect()}
+    rolling = [(1, 0, 0, 1000, "Ann", "we read the file"), (1, 1, 1000, 2000, None, "the file"), (1, 2, 2000, 3000, None, "The file, and stop"), (1, 3, 3000, 4000, "Bo", "and stop"), (1, 4, 320_000, 330_000, "Bo", "and stop then")]
+    df = spark.createDataFrame(rolling, df.drop("person", "w").schema)
+    names = spark.createDataFrame([(1, 1, "Ann Lee"), (1, 2, "Bo Ray")], names.schema)
+    got = sorted((r.segment_index, r.part, r.cause, r.speaker_no, r.segments, r.text) for r in turns.turns(df, names).collect())
+    assert got == [(0, 0, "first", 1, 2, "we read the file and stop"), (3, 0, "person", 2, 1, ""), (3, 1, "person", 2, 1, "then")]
 
 
 def test_overlap():
@@ -169,6 +175,16 @@ def test_round_trips():
         assert kind and fixed == f"Sound first. {text}", codec
     twice = "Größe".encode().decode("latin-1").encode().decode("latin-1")
     assert mender.mend(twice)[1] == "Größe"
+    for text in ("Größe der Änderungen – déjà payé, señor: «más» 12 €", "Größe", "naïve café"):
+        for codec in mojibake.WRONG:
+            char, bad = {b: c for c, b in mojibake._bytes(codec).items()}, text
+            for _ in range(4):
+                bad = "".join(chr(b) if b < 128 else char[b] for b in bad.encode())
+                assert mender.mend(f"Sound. {bad}")[1] == f"Sound. {text}", (codec, text)
+    for codec in mojibake.WRONG_DOUBLE:
+        assert mender.mend("un señor".encode().decode(codec)) == (codec, "un señor")
+    for sound in ("段落の仕様", "中文文本的编码问题", "한국어 텍스트", "日本語のテキストです。カタカナﾃｽﾄ"):
+        assert mender.mend(sound) == (None, None)
     assert mender.mend("The segments are kept legacy until seen.".encode().decode("utf-16-le"))[0] == "utf-16"
     for sound in ("Größe", "«NÃO HÁ», É”", "段落の仕様", "Проверка «В» таблиц", "quotes `Ã©` only", "", "ascii", "ЅрасеСut оf ѕеt"):
         assert mender.mend(sound) == (None, None), sound

@@ -16,10 +16,10 @@ def test_p2_blocks_takes_all_kinds_and_raw(spark, tmp_path):
     assert {k for k, r in got.items() if r.label == "bad"} == {"h"} and got["c"].marks == got["d"].marks == 0 and got["f"].marks > 0
 
 
-def test_p6_pauses_ends_turns_at_long_pauses(spark, tmp_path):
+def test_p6_turns_end_at_long_pauses(spark, tmp_path):
     rows = [(1, n, 1100 * n + 60_000 * (n > 20), 1100 * n + 60_000 * (n > 20) + 1000, "Anna Berg", f"word{n} said") for n in range(40)]
     spark.createDataFrame(rows, "recording_id long, segment_index int, start_ms long, end_ms long, speaker string, text string").write.parquet(f"{tmp_path}/transcript_segments.parquet")
     spark.createDataFrame([(1, 1, "Anna Berg")], "recording_id long, speaker_no int, full_name string").write.parquet(f"{tmp_path}/recording_speakers.parquet")
     spark.createDataFrame([(1, "en")], "recording_id long, language string").write.parquet(f"{tmp_path}/recordings.parquet")
-    assert sorted(r.segment_index for r in plans.p6_pauses(spark, str(tmp_path)).collect()) == [0, 21]
-    assert [r.segment_index for r in plans.p6_turns(spark, str(tmp_path)).collect()] == [0]
+    assert sorted(r.segment_index for r in plans.p6_turns(spark, str(tmp_path)).collect()) == [0, 21]
+    assert [r.segment_index for r in plans.p6_found(spark, str(tmp_path)).collect()] == [0]
