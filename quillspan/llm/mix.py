@@ -1,7 +1,8 @@
 """Mixing sources to target weights.
 
 Every document gets a hash-random key. The keys are even, so their leading bits split each source into ranges of equal
-size without sampling; that range and the order by key inside it are the range sort of a source. Token counts are
+size without sampling; that range and the order by key inside it are the range sort of a source. There are as many
+ranges as keep about ``RANGE_ROWS`` documents in one, whatever the size of the table. Token counts are
 added up by source and range, the running sums of these few rows give each range its offset, and a running sum inside
 the range gives each document its place. A document is taken if its middle lies before the source's budget, so a
 source misses its budget by half a document at most. A source smaller than its budget is used in whole epochs first.
@@ -11,12 +12,17 @@ The total of a mix is the largest that its sources can reach within their repeat
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.session import Scratch
 
-RANGE_BITS = 10
+#: Documents in a range of keys, about.
+RANGE_ROWS = 10_000
+#: Bits of a key: the first 15 hex digits of an MD5 hash.
+KEY_BITS = 60
 
 
 def _budgets(targets: DataFrame, sums: DataFrame, total: float | None) -> DataFrame:
@@ -45,9 +51,11 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, total: float | None
     of one mix and source count as one with the sum of their weights and the largest repeats.
     """
     spark = docs.sparkSession
-    sized = docs.where("n_tokens > 0 and source is not null").select("doc_id", "source", F.col("n_tokens").alias("n"), F.xxhash64("doc_id", F.lit(seed)).alias("key"))
-    sized = sized.withColumn("range", F.shiftrightunsigned("key", 64 - RANGE_BITS))
-    sized = Scratch(spark, "mix").put(sized, "sized")  # counting tokens is dear and its result is read twice
+    key = F.conv(F.left(F.md5(F.concat_ws(" ", F.col("doc_id").cast("string"), F.lit(seed))), F.lit(KEY_BITS // 4)), 16, 10).cast("long")
+    sized = docs.where("n_tokens > 0 and source is not null").select("doc_id", "source", F.col("n_tokens").alias("n"), key.alias("key"))
+    sized = Scratch(spark, "mix").put(sized, "sized")  # counting tokens is dear and its result is read several times
+    bits = max(0, math.ceil(math.log2(max(1, sized.count() / RANGE_ROWS))))
+    sized = sized.withColumn("range", F.shiftright("key", KEY_BITS - bits))
     sums = sized.groupBy("source", "range").agg(F.sum("n").alias("n"))
     budgets = _budgets(targets, sums, total)
     offsets = sums.select("source", "range", (F.sum("n").over(Window.partitionBy("source").orderBy("range")) - F.col("n")).alias("offset"))

@@ -85,6 +85,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p9_words(spark: SparkSession, d: str) -> DataFrame:
+    """The mixes with sizes in words between white space, which SQL can count, too."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.size(F.regexp_extract_all("text", F.lit("[^ \\t\\r\\n]+"), F.lit(0))).cast("long").alias("n_tokens"))
+    return mix.mix(docs, table(spark, d, "mix_targets"))[0]
+
+
+def p9_word_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", F.size(F.regexp_extract_all("text", F.lit("[^ \\t\\r\\n]+"), F.lit(0))).cast("long").alias("n_tokens"))
+    report = mix.mix(docs, table(spark, d, "mix_targets"))[1]
+    return report.select("mix_name", "source", F.round("target_share", 9).alias("target_share"), F.round("target_tokens", 3).alias("target_tokens"), "actual_tokens", F.round("actual_share", 9).alias("actual_share"), "documents", "max_uses", "status")
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return spam.judge(table(spark, d, "documents"), "doc_id", "text", "site")
 
@@ -99,6 +111,23 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_documents": p2_documents, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p7_restored": p7_restored,
-    "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores,
+    "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_words": p9_words, "p9_word_shares": p9_word_shares, "p10_found": p10_found, "p10_scores": p10_scores,
 }
-SQL = {"p3_found": "SELECT DISTINCT md_doc_id FROM markdown_documents WHERE length(decoded_text) > 4000"}
+_MIX = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(text, '[^ \t\r\n]+')) AS n, md5(doc_id || ' 0')[:15] AS key FROM documents WHERE source IS NOT NULL),
+s AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - n / 2 AS middle, sum(n) OVER (PARTITION BY source) AS t FROM d WHERE n > 0),
+w AS (SELECT mix_name, source, sum(greatest(coalesce(weight, 0), 0)) AS w, max(greatest(coalesce(max_repeats, 0), 0)) AS cap FROM mix_targets GROUP BY 1, 2),
+x AS (SELECT w.*, coalesce(z.t, 0) AS t, w / sum(w) OVER (PARTITION BY mix_name) AS share FROM w LEFT JOIN (SELECT source, max(t) AS t FROM s GROUP BY 1) z USING (source)),
+y AS (SELECT *, CASE WHEN w > 0 AND cap > 0 AND t > 0 THEN w / sum(CASE WHEN w > 0 AND cap > 0 AND t > 0 THEN w END) OVER (PARTITION BY mix_name) END AS part FROM x),
+b AS (SELECT *, least(coalesce(part * min(cap * t / part) OVER (PARTITION BY mix_name), 0), cap * t) AS budget FROM y),
+u AS (SELECT mix_name, source, doc_id, n, least(floor(budget / b.t) + CASE WHEN middle <= budget - floor(budget / b.t) * b.t THEN 1 ELSE 0 END, cap) AS uses FROM b JOIN s USING (source) WHERE budget > 0),
+v AS (SELECT mix_name, source, doc_id, CAST(n AS BIGINT) AS n_tokens, CAST(uses AS INTEGER) AS uses FROM u WHERE uses > 0)
+"""
+SQL = {
+    "p3_found": "SELECT DISTINCT md_doc_id FROM markdown_documents WHERE length(decoded_text) > 4000",
+    "p9_words": _MIX + "SELECT * FROM v",
+    "p9_word_shares": _MIX
+    + """, g AS (SELECT mix_name, source, CAST(sum(n_tokens * uses) AS BIGINT) AS got, count(*) AS documents, max(uses) AS m FROM v GROUP BY 1, 2)
+SELECT mix_name, source, round(share, 9) AS target_share, round(CAST(budget AS DOUBLE), 3) AS target_tokens, coalesce(got, 0) AS actual_tokens, round(coalesce(got, 0) / sum(coalesce(got, 0)) OVER (PARTITION BY mix_name), 9) AS actual_share,
+coalesce(documents, 0) AS documents, coalesce(m, 0) AS max_uses, CASE WHEN w <= 0 OR cap <= 0 THEN 'unused' WHEN t = 0 THEN 'no_documents' ELSE 'met' END AS status FROM b LEFT JOIN g USING (mix_name, source)""",
+}

@@ -208,14 +208,14 @@ def test_encoder_is_exact():
 
     reference = Tokenizer.from_file(BPE)
     reference.encode_special_tokens = True
-    bpe = tokens.Encoder(f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}", fragment=1)
+    bpe = tokens.Encoder(f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}")
     rng = random.Random(0)
     alphabet = [*"aabcdeqzxjstrvemld'  \n\t!?.,-_0123<>|", "é", "ß", "\u3000", "\xa0", "Ж", "中", "😀", "\u200b", "\u0301", "\x85", "\x1c", "'s", "'ll", "<|endoftext|>"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(4000)] + ["a" * 5000, "word " * 3000]
     for text, want in zip(texts, reference.encode_batch(texts, add_special_tokens=False)):
         assert bpe.encode(text) == want.ids
-        assert "".join(bpe.fragments(text)) == text
-    assert len(bpe.fragments("word " * 300)) == 301
+        assert b"".join(bpe.fragments(text.encode())) == b"".join(bpe.blocks(text.encode(), 7)) == text.encode()
+    assert len(bpe.fragments(b"word " * 300)) == 301 and len(bpe.blocks(b"word " * 300, 100)) == 15
 
 
 def test_encode_table(spark):
@@ -223,6 +223,10 @@ def test_encode_table(spark):
     got = sorted((str(r.doc_id), r.ids) for r in tokens.encode(df, "doc_id", "text").collect())
     assert got == sorted([("1", [31373, 995]), ("1", [31373, 995]), ("2", []), ("3", []), ("None", [87])])
     assert tokens.encode(df.where("doc_id > 9"), "doc_id", "text").count() == 0
+    bpe = tokens.encoder(f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}")
+    rows = [(k, " ".join(f"word{k}{n} and" for n in range(400)), 1) for k in (7, None, 7)] + [(8, "short", 1), (9, "a" * 3000, 1), (10, None, 1)]
+    got = sorted((str(r.doc_id), r.ids) for r in tokens.encode(spark.createDataFrame(rows, df.schema), "doc_id", "text", block=512).collect())
+    assert got == sorted((str(k), bpe.bpe.encode_ordinary(t or "")) for k, t, _ in rows)
 
 
 def test_mix(spark):
