@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import lookalike, markup, mix, mojibake, spam, split, tokens, turns
-from quillspan.session import table
+from quillspan.session import Scratch, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -43,6 +43,23 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.pieces(table(spark, d, "markdown_documents"), "md_doc_id", "decoded_text")
 
 
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    """All texts as lines of large files, which are split by byte ranges: characters of the files, characters that the
+    pieces cover once their overlaps are taken off, and pieces above the limit."""
+    path = f"{Scratch(spark, 'split').root}/files"
+    table(spark, d, "markdown_documents").where("decoded_text is not null").select("decoded_text").write.text(path)
+    found = split.file_pieces(spark, path, texts=False)
+    each = found.groupBy("path").agg(F.max("end").alias("n"), F.sum(F.col("end") - F.col("start")).alias("covered"), F.count("*").alias("pieces"), F.count_if(F.col("end") - F.col("start") > split.LIMIT).alias("above"))
+    return each.agg(F.sum("n").alias("characters"), F.sum(F.col("covered") - split.OVERLAP * (F.col("pieces") - 1)).alias("covered"), F.sum("above").alias("above_limit"))
+
+
+def p3_cover(spark: SparkSession, d: str) -> DataFrame:
+    """For every document the characters its pieces cover, the overlaps taken off, and pieces above the limit."""
+    found = split.pieces(table(spark, d, "markdown_documents"), "md_doc_id", "decoded_text")
+    each = found.groupBy("md_doc_id").agg(F.sum(F.length("text") - F.when(F.col("piece") > 0, split.OVERLAP).otherwise(0)).alias("covered"), F.count_if(F.length("text") > split.LIMIT).alias("above_limit"))
+    return each
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The openings of the operator's turns except those at pauses, which are no cases by definition."""
     found = turns.openings(table(spark, d, "transcript_segments"), table(spark, d, "recording_speakers"), table(spark, d, "recordings"))
@@ -110,7 +127,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_documents": p2_documents, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p7_restored": p7_restored,
+    "p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_documents": p2_documents, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_files": p3_files, "p3_cover": p3_cover, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p7_restored": p7_restored,
     "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_words": p9_words, "p9_word_shares": p9_word_shares, "p10_found": p10_found, "p10_scores": p10_scores,
 }
 _MIX = r"""
@@ -125,6 +142,8 @@ v AS (SELECT mix_name, source, doc_id, CAST(n AS BIGINT) AS n_tokens, CAST(uses
 """
 SQL = {
     "p3_found": "SELECT DISTINCT md_doc_id FROM markdown_documents WHERE length(decoded_text) > 4000",
+    "p3_files": "SELECT sum(length(decoded_text) + 1)::BIGINT AS characters, sum(length(decoded_text) + 1)::BIGINT AS covered, 0::BIGINT AS above_limit FROM markdown_documents",
+    "p3_cover": "SELECT md_doc_id, any_value(length(decoded_text)) AS covered, 0 AS above_limit FROM markdown_documents WHERE decoded_text <> '' GROUP BY 1",
     "p9_words": _MIX + "SELECT * FROM v",
     "p9_word_shares": _MIX
     + """, g AS (SELECT mix_name, source, CAST(sum(n_tokens * uses) AS BIGINT) AS got, count(*) AS documents, max(uses) AS m FROM v GROUP BY 1, 2)

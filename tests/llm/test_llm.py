@@ -113,19 +113,51 @@ def test_pieces(spark):
         split.piece_offsets(df, "id", "t", 100, 60)
 
 
+def _plain_cuts(text):
+    """All boundaries of a text read in one go."""
+    data = text.encode()
+    return split.stitch(split.scan(data, 0, len(data), True), 0, 0, 0)
+
+
 def test_ranges_agree_with_whole_text():
     rng = random.Random(8)
-    lines = ["```", "text here. And more, yes", "", "# Head", "- item", "| a | b |"]
-    text = "\n".join(rng.choice(lines) for _ in range(400))
-    (even, _), fences = split.boundaries(text, 0, len(text), True)
-    size, stitched, before = split.CELL * 3, [], 0
-    for at in range(0, len(text), size):
-        left = min(split.HALO, at)
-        tables, n = split.boundaries(text[at - left : at + size + split.HALO], left, min(size, len(text) - at), at == 0)
-        stitched += [(at + x, rank) for x, rank in tables[before % 2]]
-        before += n
-    assert before == fences
-    assert sum(a == b for a, b in zip(even, stitched)) >= 0.97 * len(even)
+    lines = ["```", "~~~~", "````py", "``` x`", "text here. And more, yés", "", "# Head", "- item", "| a | b |", "日本語。", "e\u0301\r"]
+    text = "\n".join(rng.choice(lines) for _ in range(600))
+    data, size, state, at, byte, stitched = text.encode(), split.CELL * 3, 0, 0, 0, []
+    whole, end = _plain_cuts(text)
+    for low in range(0, len(data), size):
+        left = min(split.HALO, low)
+        table = split.scan(data[low - left : low + size + split.HALO], left, size, low == 0)
+        assert split._composed([table])[state] == split.stitch(table, state, at, byte)[1]
+        cuts, state = split.stitch(table, state, at, byte)
+        stitched += cuts
+        at, byte = at + table.chars, byte + table.bytes
+    assert (state, at, byte) == (end, len(text), len(data))
+    assert all(len(text[:a].encode()) == b for a, b, _ in stitched)
+    strong = [{c for c in cuts if c[2] >= split.CODE_LINE} for cuts in (whole, stitched)]
+    assert len(strong[0] & strong[1]) >= 0.9 * len(strong[0])
+    inside = "```\n~~~\n# no head\n```\n\n# head\n"
+    ranks = {inside[a:].split("\n")[0]: rank for a, _, rank in _plain_cuts(inside)[0]}
+    assert ranks["# head"] == split.HEADING and ranks["# no head"] == split.CODE_LINE
+
+
+def test_files_by_ranges(spark, tmp_path):
+    rng = random.Random(5)
+    words = ["alpha", "beta,", "gamma.", "délta", "\n\n# Head\n\n", "\n\n", "```\ncode line\n```\n", "- item\n", "日本語。", "😀"]
+    texts = {"a.txt": "".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(420_000)), "b.txt": "short", "c.txt": "", "sub/d.txt": "é" * 9000}
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    assert len(texts["a.txt"].encode()) > 2 * split.RANGE * split.SECTION  # several sections
+    got = {}
+    for r in split.file_pieces(spark, str(tmp_path)).collect():
+        got.setdefault(r.path.removeprefix(f"file:{tmp_path}/"), []).append((r.piece, r.start, r.end, r.text))
+    assert set(got) == {"a.txt", "b.txt", "sub/d.txt"}
+    for name, rows in got.items():
+        rows.sort()
+        assert [r[0] for r in rows] == list(range(len(rows))) and rows[0][1] == 0 and rows[-1][2] == len(texts[name])
+        assert all(texts[name][a:b] == t and 0 < len(t) <= split.LIMIT for _, a, b, t in rows)
+        assert all(y[1] == x[2] - split.OVERLAP for x, y in zip(rows, rows[1:]))
 
 
 # 6: turns
