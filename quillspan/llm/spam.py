@@ -26,31 +26,43 @@ from pyspark.sql import functions as F
 from quillspan.llm.markup import STOP_WORDS
 from quillspan.session import Scratch
 
-#: Rows of each weak label the trees are fitted on, at most; and words of the spam vocabulary, at most.
+#: Rows of each weak label the trees are fitted on, at most.
 FIT_ROWS = 20_000
-WORDS = 4_000
+#: A word of the spam vocabulary is on this many and on this share of the pages with the first label spam, at least. The
+#: share bounds the vocabulary: it has at most as many words as a spam page has different ones, divided by the share.
+WORD_PAGES = 5
+WORD_SHARE = 0.0005
+#: A host with more than this share of all pages is joined by broadcast; there are fewer of them than 1 / HOT_HOST.
+HOT_HOST = 0.005
 TREES = 25
 DEPTH = 6
 #: How many votes' worth the host's rate counts, in pages a host must have for half of it.
 HOST_PAGES = 20.0
 HOST_WEIGHT = 0.5
 
-_LINK = re.compile(r"<a\s[^<>]*>.*?</a>|!?\[[^\[\]]*\]\([^()\s]*\)|<?https?://[^\s<>\"')\]|]+>?|\bwww\.[^\s<>\"')\]|]+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|info|biz|io|example|test|invalid)\b(?:/[^\s<>\"')\]|]*)?", re.I | re.S)
+# Endings of host names that are no endings of file names: generic ones, those of countries, and the
+# names reserved for examples.
+HOST_ENDINGS = """
+com org net info biz io dev app shop store online site xyz club blog news eu de at ch fr be lu es it pt nl uk ie us ca mx ar cl co pe br au nz jp cn in ru ua
+se no dk fi cz sk hu ro gr tr za kr tw hk sg id th vn il ae ir edu gov example test invalid
+""".split()
+_HOST = r"(?=[\w-]++\.\w)[\w-]+(?:\.[\w-]+)*\.(?:" + "|".join(HOST_ENDINGS) + r")\b(?![.-]\w|\()"
+_LINK = re.compile(r"<a\s[^<>]*>.*?</a>|!?\[[^\[\]]*\]\([^()\s]*\)|<?https?://[^\s<>\"')\]|]+>?|\bwww\.[^\s<>\"')\]|]+|\b" + _HOST + r"(?:/[^\s<>\"')\]|]*)?", re.I | re.S)
 _UNIT = re.compile(r"\n+|(?<=[.!?])\s+(?=[^\W\d_a-z]|[¿¡#*<\[])")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _DOTTED = re.compile(r"(?<![^\W_])(?:[^\W_][.\-_*·]){3,}[^\W_](?![^\W_])")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_] ){4,}[^\W\d_](?!\S)")
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _LEET_WORD = re.compile(r"(?<![\w@$])(?=[\w@$]*[^\W\d_])(?=[\w@$]*[013457@$])[^\W\d_013457@$]*(?:[013457@$]{1,2}[^\W\d_]+)+[013457@$]?(?![\w@$])|(?<![\w@$])[^\W\d_]{2,}[013457@$](?![\w@$.,])")
-_CODE = re.compile(r"[(){}\[\];=<>&|+*/\\]")
+_CODE = "(){}[];=<>&|+*/\\"
 _HASHTAG = re.compile(r"#[^\W\d_]")
 _HIDDEN = re.compile("[\xad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _DOTS = re.compile(r"[.\-_*·][^\W_][.\-_*·][^\W_][.\-_*·]")
 _SPACES = re.compile(r" \w \w \w ")
 _LEETISH = re.compile(r"[013457@$](?:(?=[^\W\d_])|(?<=[^\W\d_].))")
-_TLD = re.compile(r"\.(?:com|org|net|info|biz|io|example|test|invalid)\b", re.I)
+_TLD = re.compile(r"\.(?:" + "|".join(HOST_ENDINGS) + r")\b", re.I)
 _ADDRESS = re.compile(r"\]\(.*|<?https?://\S+|\S+\.\S+", re.S)
-_SEPARATOR = re.compile(r"\s[|•·;/~»-]\s|[,;]\s")
+_SEPARATOR = re.compile(r"[^\S\n][|•·;/~»-][^\S\n]|[,;][^\S\n]")
 _TAGGED = re.compile(r"<[^<>]{1,200}>")
 
 PLAIN = (
@@ -88,6 +100,11 @@ def plain(text: str) -> tuple[str, float]:
     return s, min(1.0, odd / max(1, len(text)))
 
 
+def _linked(s: str) -> bool:
+    """Whether a text may hold a link."""
+    return "://" in s or "](" in s or "<a" in s or "<A" in s or "www." in s or "." in s and _TLD.search(s) is not None
+
+
 def features(text: str) -> tuple[tuple[float, ...], str]:
     """The features of a page that need no vocabulary, and its units for those that do.
 
@@ -96,16 +113,18 @@ def features(text: str) -> tuple[tuple[float, ...], str]:
     """
     s, disguise = plain(text)
     total = max(1, len(s))
-    linked_page = "://" in s or "](" in s or "<a" in s or "www." in s or _TLD.search(s) is not None
+    linked_page = _linked(s)
+    numbered = any(map(s.count, "0123456789"))
     words: list[str] = []
     content: list[str] = []
     lines: list[str] = []
-    sentences = links = bare = unit_words = code = seps = n_stops = letters = 0
+    rests: list[str] = []
     known: set[str] = set()
+    sentences = links = bare = unit_words = n_stops = 0
     for unit in _UNIT.split(s):
         if not unit or unit.isspace():
             continue
-        found = [m[0] for m in _LINK.finditer(unit)] if linked_page else ()
+        found = [m[0] for m in _LINK.finditer(unit)] if linked_page and _linked(unit) else ()
         rest, anchors = unit, []
         if found:
             rest = _LINK.sub(" ", unit)
@@ -113,22 +132,24 @@ def features(text: str) -> tuple[tuple[float, ...], str]:
             for x in found:
                 anchors += _WORD.findall(_TAGGED.sub(" ", _ADDRESS.sub(" ", x)).lower())
         uw = _WORD.findall(_TAGGED.sub(" ", rest).lower() if "<" in rest else rest.lower())
-        code += len(_CODE.findall(rest))
-        seps += len(_SEPARATOR.findall(rest))
+        rests.append(rest)
         told = [w for w in uw if w not in STOP_WORDS]
         n = len(uw)
         stops = n - len(told)
-        kinds = STOP_WORDS.intersection(uw)
-        known |= kinds
-        n_stops += stops
+        prose = False
+        if stops:
+            kinds = STOP_WORDS.intersection(uw)
+            known |= kinds
+            n_stops += stops
+            prose = n >= 5 and stops >= 0.2 * n and len(kinds) >= min(5, n / 6)
         unit_words += n
-        prose = n >= 5 and stops >= 0.2 * n and len(kinds) >= min(5, n / 6)
         unexplained = bool(found) and not (prose and n >= 3 * len(found))
         if unexplained:
             bare += len(unit)
         if prose:
             sentences += len(unit)
-        told = [w for w in told if not w.isdigit()]
+        if numbered:
+            told = [w for w in told if not w.isdigit()]
         lines.append(f"{len(unit)} {int(unexplained)} {len(told)} {' '.join(told)}")
         if anchors:
             words += anchors
@@ -138,15 +159,24 @@ def features(text: str) -> tuple[tuple[float, ...], str]:
             lines.append(f"0 1 {len(more)} {' '.join(more)}")
         words += uw
         content += told
+    rest = "\n".join(rests)
+    code, seps = sum(map(rest.count, _CODE)), len(_SEPARATOR.findall(rest))
     n, m = max(1, len(words)), max(1, len(content))
-    pairs = Counter(zip(words, words[1:]))
-    repeats = sum(k for p, k in pairs.items() if k >= 3 and not (p[0] in STOP_WORDS and p[1] in STOP_WORDS)) / n
-    top_word = (max(Counter(content).values(), default=1) - 1) / m if m > 11 else 0.0
-    top_pairs = 2 * sum(k for k in sorted(Counter(zip(content, content[1:])).values())[-3:] if k > 2) / m if m > 11 else 0.0
+    counts = Counter(words)
+    thrice = {w for w, k in counts.items() if k > 2}  # only their pairs can come three times
+    pairs = Counter([p for p in zip(words, words[1:]) if p[0] in thrice and p[1] in thrice])
+    repeats = sum(k for p, k in pairs.items() if k > 2 and not (p[0] in STOP_WORDS and p[1] in STOP_WORDS)) / n
+    top_word = top_pairs = 0.0
+    if m > 11:
+        told = thrice.difference(STOP_WORDS)
+        top = max((counts[w] for w in told if not w.isdigit()), default=0) or (2 if len(set(content)) < len(content) else 1)
+        top_word = (top - 1) / m
+        pairs = Counter([p for p in zip(content, content[1:]) if p[0] in thrice and p[1] in thrice])
+        top_pairs = 2 * sum(k for k in sorted(pairs.values())[-3:] if k > 2) / m
     letters = sum(map(len, words))
     lines.append(f"{letters}")
     return (
-        math.log1p(total), n_stops / n, sentences / total, links / total, bare / total, repeats, len(set(words)) / n, sum(map(s.count, "0123456789")) / total, code / total,
+        math.log1p(total), n_stops / n, sentences / total, links / total, bare / total, repeats, len(counts) / n, sum(map(s.count, "0123456789")) / total, code / total,
         len(_HASHTAG.findall(s)) / n, disguise, seps / n, min(1.0, len(known) / min(12.0, max(2.0, n / 6))), top_word, min(1.0, top_pairs), min(50.0, unit_words / max(1, len(lines) - 1)),
     ), "\n".join(lines)
 
@@ -184,8 +214,8 @@ def first_label(f: dict[str, float]) -> int | None:
 def vocabulary(pages: DataFrame) -> frozenset[str]:
     """The words that are far more frequent, by documents, among first-label spam than among first-label honest pages.
 
-    pages: columns first (label) and lines (units). Counted over all pages. A word counts from five spam pages on; the
-    ``WORDS`` most frequent are kept, which bounds what reaches the driver.
+    pages: columns first (label) and lines (units). Counted over all pages, and no word that counts is left out; what
+    reaches the driver is bounded by ``WORD_SHARE``, whatever the number of pages.
     """
     words = F.array_distinct(F.split(F.regexp_replace("lines", r"(?m)^\d+(?: [01] \d+)? ?", ""), "[ \n]+"))
     marked = pages.where("first is not null").select("first", F.explode(words).alias("word")).where("word != ''")
@@ -194,8 +224,7 @@ def vocabulary(pages: DataFrame) -> frozenset[str]:
     if not total.spam:
         return frozenset()
     rate = F.col("spam") / total.spam / ((F.col("honest") + 0.5) / (total.honest + 1))
-    kept = counts.where((F.col("spam") >= 5) & (rate >= 5)).orderBy(F.desc("spam"), "word").limit(WORDS)
-    return frozenset(r.word for r in kept.collect())
+    return frozenset(r.word for r in counts.where((F.col("spam") >= max(WORD_PAGES, WORD_SHARE * total.spam)) & (rate >= 5)).select("word").collect())
 
 
 def judge(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
@@ -238,9 +267,14 @@ def judge(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
     else:
         voted = marked.withColumn("vote", F.col("junk")).drop("x")
     voted = scratch.put(voted.drop("label"), "votes")
-    hosts = voted.where("h is not null").groupBy("h").agg(F.sum("vote").alias("sum"), F.count("*").alias("n"))
+    hosts = scratch.put(voted.where("h is not null").groupBy("h").agg(F.sum("vote").alias("sum"), F.count("*").alias("n")), "hosts")
+    hot = hosts.where(F.col("n") > HOT_HOST * max(1, voted.count()))
+    near = voted.join(F.broadcast(hot), "h", "left")  # fewer than 1 / HOT_HOST rows
+    near = scratch.put(near, "near")
+    cold = near.where("n is null and h is not null").drop("sum", "n").join(hosts, "h")
+    voted = near.where("n is not null or h is null").unionByName(cold)
     rate = F.when(F.col("n") > 1, (F.col("sum") - F.col("vote")) / (F.col("n") - 1)).alias("host_rate")
-    voted = voted.join(hosts, "h", "left").select("k", *FEATURES, "vote", rate, F.col("n").alias("host_pages"))
+    voted = voted.select("k", *FEATURES, "vote", rate, F.col("n").alias("host_pages"))
     unsure = 4 * F.col("vote") * (1 - F.col("vote")) * HOST_WEIGHT * F.col("host_pages") / (F.col("host_pages") + HOST_PAGES)
     score = F.when(F.col("host_rate").isNull(), F.col("vote")).otherwise(F.col("vote") + unsure * (F.col("host_rate") - 0.5) * F.when(F.col("host_rate") > 0.5, 1.0).otherwise(0.2))
     voted = voted.withColumn("score", score)
