@@ -16,17 +16,19 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.session import Scratch
 
-# Letters of one shape in Latin, Greek and Cyrillic (a dot where a script has none).
+# Letters of one shape in Latin, Greek, Cyrillic and Armenian (a dot where a script has none), and letters
+# that look like another one of their own script.
 SHAPES = """
-AΑА BΒВ C.С EΕЕ HΗН IΙІ J.Ј KΚК MΜМ NΝ. OΟО PΡР S.Ѕ TΤТ XΧХ YΥ. ZΖ.
-a.а c.с d.ԁ e.е h.һ i.і j.ј oοо p.р q.ԛ s.ѕ vνѵ w.ԝ x.х y.у
+AΑА. BΒВ. CϹС. EΕЕ. G.Ԍ. HΗН. IΙІ. JͿЈ. KΚК. L..Լ MΜМ. NΝ.. OΟОՕ PΡР. Q.Ԛ. S.ЅՏ TΤТ. U..Ս V.Ѵ. W.Ԝ. XΧХ. YΥ.. ZΖ.. .ΓГ. .ΠП. .ΦФ. Æ.Ӕ.
+a.а. cϲс. d.ԁ. e.е. g..ց h.һհ i.і. jϳј. l.ӏ. n..ո oοоօ p.р. q.ԛզ s.ѕ. u..ս vνѵ. w.ԝ. x.х. y.у. .κк. æ.ӕ. ə.ә.
 """.split()
-SCRIPTS = "LGC"
+SAME = {"ɡ": "g", "Ӏ": "І", "Ɩ": "I"}
+SCRIPTS = "LGCA"
 SWITCH = 1000.0
 
 _IGNORED = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
@@ -43,6 +45,8 @@ def _plain(c: str) -> str:
         return " "
     if c in "‐‑﹣－":
         return "-"
+    if c in SAME:
+        return SAME[c]
     kind, _, code = unicodedata.decomposition(c).partition("> ")
     if kind in ("<wide", "<narrow") or kind == "<compat" and "LIGATURE" in unicodedata.name(c, ""):
         return "".join(_plain(chr(int(x, 16))) for x in code.split())
@@ -52,7 +56,7 @@ def _plain(c: str) -> str:
 @functools.lru_cache(maxsize=65536)
 def _script(c: str) -> str:
     name = unicodedata.name(c, "")
-    return "L" if name.startswith("LATIN") else "G" if name.startswith("GREEK") else "C" if name.startswith("CYRILLIC") else "-"
+    return "L" if name.startswith("LATIN") else "G" if name.startswith("GREEK") else "C" if name.startswith("CYRILLIC") else "A" if name.startswith("ARMENIAN") else "-"
 
 
 def read_word(word: str, pairs: dict[str, float]) -> str:
@@ -81,17 +85,7 @@ class Reader:
     """Brings texts to one form; keeps the readings of words it has seen lately."""
 
     def __init__(self, pairs: dict[str, float]):
-        self.word = functools.lru_cache(maxsize=100_000)(lambda w: self._word(w, pairs))
-
-    @staticmethod
-    def _word(word: str, pairs: dict[str, float]) -> str:
-        scripts = {_script(c) for c in word if c not in _SHAPE and not unicodedata.combining(c)}
-        if len(scripts) == 1:  # a letter of one script only: the path without any change of script, if it exists, is the best
-            s = scripts.pop()
-            letters = [c if (k := _SHAPE.get(c)) is None else _LETTERS[k].get(s) for c in word]
-            if None not in letters:
-                return "".join(letters)
-        return read_word(word, pairs)
+        self.word = functools.lru_cache(maxsize=200_000)(lambda w: read_word(w, pairs))
 
     def text(self, text: str | None) -> str | None:
         if text is None:
@@ -107,7 +101,7 @@ class Reader:
 def letter_pairs(df: DataFrame, text: str) -> dict[str, float]:
     """Log probabilities of pairs of letters that have a shape in several scripts, counted over all rows.
 
-    There are fewer than 90 such letters, so the counts that reach the driver are bounded by 90 x 90.
+    There are fewer than 130 such letters, so the counts that reach the driver are bounded by 130 x 130.
     """
     letters = "".join(_SHAPE)
     found = df.where(F.col(text).isNotNull()).select(F.explode(F.expr(f"regexp_extract_all({_name(text)}, '(?=([{letters}]{{2}}))', 1)")).alias("pair"))
@@ -134,18 +128,37 @@ def one_form(df: DataFrame, text: str, to: str) -> DataFrame:
     return df.withColumn(to, form(F.col(text)))
 
 
+def _spelt(df: DataFrame, key: str, groups: list[str], text: str) -> tuple[DataFrame, list[str]]:
+    """(k, groups, form and v of the rows whose group has their form in several spellings, the columns of a class)."""
+    rows = df.select(F.col(key).alias("k"), *[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)], F.col(text).alias("v"))
+    rows = rows.where(" and ".join(f"{c} is not null" for c in rows.columns))
+    by = [*(c for c in rows.columns if c not in ("k", "v")), "form"]
+    scratch = Scratch(df.sparkSession, "lookalike")
+    formed = scratch.put(one_form(rows, "v", "form"), "formed")
+    classes = formed.groupBy(*by).agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low != high").select(*by)
+    return scratch.put(formed.join(classes, by, "left_semi").distinct(), "spelt"), by
+
+
 def same_looking(df: DataFrame, key: str, groups: list[str], text: str) -> DataFrame:
     """Pairs of rows of one group whose texts look the same and differ: key_a < key_b.
 
-    Rows with a null key, group or text have no pairs. Rows that repeat a key count once. Only values that occur in
-    several spellings are joined, and those on group and form, so groups of one spelling cost nothing.
+    Rows with a null key, group or text have no pairs. Rows that repeat a key count once. Spellings are compared before
+    rows: only pairs of different spellings of one form are joined, and rows are put in for them at the end, so copies
+    of one spelling never meet.
     """
-    rows = df.select(F.col(key).alias("k"), *[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)], F.col(text).alias("v"))
-    names = [c for c in rows.columns if c != "v"]
-    rows = rows.where(" and ".join(f"{c} is not null" for c in rows.columns))
-    by = Window.partitionBy(*names[1:], "form")
-    spelt = one_form(rows, "v", "form").withColumn("several", F.min("v").over(by) != F.max("v").over(by)).where("several").drop("several")
-    spelt = Scratch(df.sparkSession, "lookalike").put(spelt, "spelt")
-    other = spelt.select(F.col("k").alias("k_b"), *names[1:], "form", F.col("v").alias("v_b"))
-    pairs = spelt.join(other, [*names[1:], "form"]).where("k < k_b and v != v_b")
-    return pairs.select(F.col("k").alias(f"{key}_a"), F.col("k_b").alias(f"{key}_b")).distinct()
+    spelt, by = _spelt(df, key, groups, text)
+    spellings = spelt.select(*by, "v").distinct()
+    pairs = spellings.withColumnRenamed("v", "v_a").join(spellings.withColumnRenamed("v", "v_b"), by).where("v_a < v_b")
+    first = pairs.join(spelt.withColumnsRenamed({"k": "k_a", "v": "v_a"}), [*by, "v_a"])
+    both = first.join(spelt.withColumnsRenamed({"k": "k_b", "v": "v_b"}), [*by, "v_b"]).where("k_a != k_b")
+    return both.select(F.least("k_a", "k_b").alias(f"{key}_a"), F.greatest("k_a", "k_b").alias(f"{key}_b")).distinct()
+
+
+def classes(df: DataFrame, key: str, groups: list[str], text: str) -> DataFrame:
+    """One row for each row that has a partner in ``same_looking``: key, class_id (the smallest key of its class) and
+    links (rows of the class in another spelling). Its size is that of the table, however many pairs there are."""
+    spelt, by = _spelt(df, key, groups, text)
+    each = spelt.groupBy(*by, "v").agg(F.count("*").alias("same"), F.min("k").alias("low"))
+    whole = each.groupBy(*by).agg(F.sum("same").alias("all"), F.min("low").alias("class_id"))
+    links = each.join(whole, by).select(*by, "v", "class_id", (F.col("all") - F.col("same")).alias("links"))
+    return spelt.join(links, [*by, "v"]).select(F.col("k").alias(key), "class_id", "links")

@@ -9,10 +9,17 @@ from quillspan.llm import lookalike, markup, mix, mojibake, spam, split, tokens,
 from quillspan.session import Scratch, table
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
+def _headers(spark: SparkSession, d: str) -> DataFrame:
     threads = table(spark, d, "mail_messages").select("stable_id", "thread_id").distinct()
-    headers = table(spark, d, "email_headers").select("header_id", "stable_id", "normalized_name", F.coalesce("decoded_value", "unfolded_value").alias("value"))
-    return lookalike.same_looking(headers.join(threads, "stable_id"), "header_id", ["thread_id", "normalized_name"], "value")
+    return table(spark, d, "email_headers").select("header_id", "stable_id", "normalized_name", F.coalesce("decoded_value", "unfolded_value").alias("value")).join(threads, "stable_id")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.same_looking(_headers(spark, d), "header_id", ["thread_id", "normalized_name"], "value")
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.classes(_headers(spark, d), "header_id", ["thread_id", "normalized_name"], "value")
 
 
 def p1_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +134,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_documents": p2_documents, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_files": p3_files, "p3_cover": p3_cover, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p7_restored": p7_restored,
+    "p1_found": p1_found, "p1_classes": p1_classes, "p1_forms": p1_forms, "p2_found": p2_found, "p2_blocks": p2_blocks, "p2_documents": p2_documents, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_files": p3_files, "p3_cover": p3_cover, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p7_restored": p7_restored,
     "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_words": p9_words, "p9_word_shares": p9_word_shares, "p10_found": p10_found, "p10_scores": p10_scores,
 }
 _MIX = r"""

@@ -29,12 +29,19 @@ def test_same_looking(spark):
     got = pairs_of(lookalike.same_looking(df, "id", ["thread", "name"], "v"))
     assert got == {(1, 2), (1, 3), (2, 3), (2, 6), (3, 6), (9, 10), (12, 13), (18, 19), (20, 21), (22, 23)}
     assert lookalike.same_looking(df.where("id < 0"), "id", ["thread"], "v").count() == 0
+    found = {r.id: (r.class_id, r.links) for r in lookalike.classes(df, "id", ["thread", "name"], "v").collect()}
+    assert found == {k: (min(x for p in got if k in p or any(k in q and set(p) & set(q) for q in got) for x in p), sum(k in p for p in got)) for k in {x for p in got for x in p}}
+    pairs = [("к", "κ"), ("ӏ", "l"), ("ո", "n"), ("ɡ", "g"), ("օ", "о"), ("Г", "Γ")]
+    df = spark.createDataFrame([(2 * i + j, i, f"wo{c}d") for i, p in enumerate(pairs) for j, c in enumerate(p)], "id long, thread long, v string")
+    assert pairs_of(lookalike.same_looking(df, "id", ["thread"], "v")) == {(2 * i, 2 * i + 1) for i in range(len(pairs))}
 
 
 def test_readings_keep_shapes():
     rng = random.Random(3)
     reader = lookalike.Reader({})
     letters = [[c for c in shape if c != "."] for shape in lookalike.SHAPES]
+    assert all(len(shape) == 4 for shape in lookalike.SHAPES) and len({c for x in letters for c in x}) == sum(map(len, letters)) < 130
+    assert all(lookalike._script(c) == lookalike.SCRIPTS[i] for shape in lookalike.SHAPES for i, c in enumerate(shape) if c != ".")
     seen = {}
     for _ in range(3000):
         word = [rng.choice(letters) for _ in range(rng.randrange(1, 5))]
