@@ -1,9 +1,11 @@
 """Markup residue in text blocks and documents: clean text that keeps headings, lists, code and formulas.
 
-Blocks are labelled in two passes. The first looks at length, stop-word density and the share of link and markup
-characters and decides on good and bad blocks; the second lets the undecided short ones take the label of the nearest
-decided neighbour in their document. Densities can tell running text from navigation, but not whether an honest
-sentence still holds a single mark, so the marks themselves are found by the grammar below, which every block passes.
+Blocks are labelled in two passes. The first looks at length, stop-word density, link density and marks of a block and
+decides the clear ones; the second lets the undecided short ones take the label of the nearest decided neighbour in
+their document. For clean text the labels are good (content) and bad (navigation, link lists, remains of layout). For
+residue they are marked and clean: a block whose marks the grammar knows is marked, one without any character of markup
+and one of running text is clean, and a short block with characters that may be content or half a mark goes with its
+neighbours. Only blocks labelled marked are checked exactly, undecided ones for marks that were cut in two.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ KEPT_KINDS = ("code_fence", "inline_code", "inline_math", "display_math")
 MAX_LINK_DENSITY = 0.2
 SHORT = 70
 LONG = 200
+#: Bytes of a document whose blocks are put in order by one task.
+SHARD = 65_536
 STOP_LOW = 0.30
 STOP_HIGH = 0.32
 
@@ -80,12 +84,22 @@ _ROW = re.compile(r"\A\s*\|.*\|\s*\Z|\|\s*:?-{3,}:?\s*\|")
 _BBCODE = re.compile(r"\[/(?:b|i|u|url|quote|code|img)\]", re.I)
 #: A text without any of these holds no markup.
 TRIGGER = (
-    r"<[A-Za-z/!?]|&#?[A-Za-z0-9]+;|\{\{|\{\\|\[\[|\]\(|\]\[|\[\^|\[/|''|==|##|(?:^|\n)# |\\[A-Za-z(\[]|`|~~|\$|\||(?<![\w*])\*+[^\s*]|(?<!\w)_+[^\s_]"
+    r"<[A-Za-z/!?]|&#?[A-Za-z0-9]+;|\{\{|\{\\|\[\[|\]\(|\]\[|\[\^|\[/|''|==|##|(?:^|\n)#\s|\\[A-Za-z(\[]|`|~~|\$|\||(?<![\w*])\*+[^\s*]|(?<!\w)_+[^\s_]"
 )
 
+#: A text may hold half a mark only if it has one of these.
+HALVES = r"\*\*|~~|\]|\}\}|\\[a-z]|>|&|'''|==|`"
+
 #: Each mark that ``strip`` knows has one of these; a text without any of them is returned at once.
 _MAY = re.compile(r"<[A-Za-z/!?]|&[#A-Za-z]|\{[{\\]|\[[\[^/]|\][(\[]|\]\]>|''|==|#\s|\\[A-Za-z(\[]|`|~~|\$|\||\*(?<![\w*\\]\*)|_(?<!\w_)")
 
+#: Halves of marks, as they are left where text was cut; in content they are rare, but not unheard of.
+_HALF = re.compile(
+    r"(?<![\w*])\*{2,3}(?=\w)(?!\w+(?:\W|\Z))|(?<=[^\s*])\*{2,3}(?=\s|[.,;:!?]?\Z)|~~(?=\w)|(?<=\w)~~|\A[^\[\]]*\](?:\([^()\s]+\)|\[\w*\])|\A[^\[\]]*\]\](?!\])|\A[^{}]*\}\}"
+    r"|\\(?:text(?:bf|it|tt|sc)|emph|section|subsection|cite|ref|label|begin|end|footnote|url|href)\{?\Z|\A[^<>]*(?:[\"']|\w)\s*/?>(?=\s|\w)|&(?:amp|lt|gt|nbsp|quot|#\d+)\Z"
+    r"|'''(?=\w)|(?<=\w)'''|\A={2,6}[ \t]+\w|(?<=\w)[ \t]+={2,6}\Z|`{1,3}(?=\w+\Z)"
+)
+
 _DROPPED = frozenset("label ref cite pageref eqref citep citet begin end bibliography bibliographystyle input include usepackage documentclass vspace hspace index".split())
 
 
@@ -256,30 +270,76 @@ def blocks(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_b", x).withColumns({"plain": F.coalesce("_b.plain", F.col(text)), "marks": F.coalesce("_b.marks", F.lit(0)), "first": F.coalesce("_b.first", F.lit("bad"))}).drop("_b")
 
 
-def residue(df: DataFrame, text: str) -> DataFrame:
-    """Rows whose text still holds markup, with the columns of ``blocks``. Texts without any trigger are not parsed."""
-    return blocks(df.where(F.col(text).rlike(TRIGGER)), text).where("marks > 0")
+def neighbours(df: DataFrame, document: str, at: str, tie: str, label: str, to: str, shard: int = SHARD) -> DataFrame:
+    """The table with column ``to``: the label, or where it is null that of the nearest row that has one, by places ``at``
+    in the same document; of two equally near ones the one before. Null if the document has no label at all.
+
+    A document is cut into shards of ``shard`` places. A row looks in its own shard and, by way of one row per shard, at
+    the nearest labels in the shards before and behind; no task holds a whole document. Rows without a place come first.
+    """
+    rows = df.withColumns({"_a": F.coalesce(F.col(at).cast("long"), F.lit(-1)), "_w": F.coalesce(F.floor(F.col(at) / shard), F.lit(-1))})
+    own = F.when(F.col(label).isNotNull(), F.struct(F.col(label).alias("l"), F.col("_a").alias("a")))
+    order = F.when(own.isNotNull(), F.struct("_a", tie))
+    inside = Window.partitionBy(document, "_w").orderBy("_a", tie)
+    rows = rows.withColumns({
+        "_up": F.last(own, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_down": F.first(own, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)),
+    })
+    shards = rows.groupBy(F.col(document).alias("_d"), F.col("_w").alias("_cw")).agg(F.max_by(own, order).alias("top"), F.min_by(own, order).alias("low"))
+    over = Window.partitionBy("_d").orderBy("_cw")
+    carry = shards.select(
+        "_d", "_cw", F.last("top", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_cu"), F.first("low", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_cd"),
+    )
+    rows = rows.join(carry, F.col(document).eqNullSafe(F.col("_d")) & (F.col("_w") == F.col("_cw")))
+    up, down = F.coalesce("_up", "_cu"), F.coalesce("_down", "_cd")
+    nearest = F.when(down.isNull() | (F.col("_a") - up["a"] <= down["a"] - F.col("_a")), up["l"]).otherwise(down["l"])
+    return rows.withColumn(to, F.coalesce(F.col(label), nearest)).drop("_a", "_w", "_up", "_down", "_d", "_cw", "_cu", "_cd")
+
+
+def _judged(text: str) -> tuple[str | None, bool]:
+    """The first pass for residue: (marked, clean or None for undecided, whether there is half a mark)."""
+    plain, marks = strip(text)
+    if marks:
+        return "marked", False
+    links = sum(len(m[0]) for m in re.finditer(r"https?://\S+|www\.\S+", text)) if "http" in text or "www." in text else 0
+    half = _HALF.search(text) is not None
+    if len(text) >= SHORT and links <= MAX_LINK_DENSITY * len(text):
+        words = plain.split()
+        stops = sum(w.strip(".,;:!?()\"'").casefold() in STOP_WORDS for w in words) / max(1, len(words))
+        if stops >= STOP_LOW:
+            return "clean", half
+    return None, half
+
+
+def residue(df: DataFrame, document: str, node: str, at: str, text: str) -> DataFrame:
+    """document and node of the blocks whose text still holds markup; ``at`` is a block's place in its document.
+
+    Null and empty texts hold none. Repeated rows of a node count once.
+    """
+
+    @F.pandas_udf("label string, half boolean")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, False) if t is None else _judged(t) for t in texts], columns=["label", "half"])
+
+    suspect = F.coalesce(F.col(text).rlike(TRIGGER) | F.col(text).rlike(HALVES), F.lit(False))
+    rows = df.withColumn("_s", suspect).withColumn("_j", judge(F.when(F.col("_s"), F.col(text))))
+    rows = rows.select(F.col(document), F.col(node), F.col(at), F.when(F.col("_s"), F.col("_j.label")).otherwise("clean").alias("first"), F.col("_j.half").alias("half"))
+    rows = rows.groupBy(document, node).agg(F.max(F.struct("first", "half", at)).alias("x")).select(document, node, "x.*")  # marked is the larger label
+    found = neighbours(rows, document, at, node, "first", "label")
+    return found.where("label = 'marked' and (first is not null or half)").select(document, node)
 
 
-def labelled(df: DataFrame, document: str, place: list[str], text: str, counts: Column | None = None) -> DataFrame:
+def labelled(df: DataFrame, document: str, at: str, tie: str, text: str, counts: Column | None = None) -> DataFrame:
     """``blocks`` and column label (good or bad) after the second pass over the blocks of each document in order.
 
     Rows for which ``counts`` is false are labelled, but are no neighbours to others.
     """
-    order = Window.partitionBy(document).orderBy(*place)
-    counted = F.lit(True) if counts is None else counts
-    decided = F.when(counted & F.col("first").isin("good", "bad"), F.struct(F.col("first").alias("l"), F.col("_n").alias("n")))
-    rows = blocks(df, text).withColumn("_n", F.sum(F.when(counted, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumns({
-        "_up": F.last(decided, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "_down": F.first(decided, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
-    })
-    nearest = F.when(F.col("_down").isNull() | (F.col("_n") - F.col("_up.n") <= F.col("_down.n") - F.col("_n")), F.col("_up.l")).otherwise(F.col("_down.l"))
-    label = F.when(F.col("first").isin("good", "bad"), F.col("first")).otherwise(F.coalesce(nearest, F.when(F.col("first") == "near", "good").otherwise("bad")))
-    return rows.withColumn("label", label).drop("_n", "_up", "_down")
+    sure = F.when(F.col("first").isin("good", "bad"), F.col("first"))
+    counted = sure if counts is None else F.when(counts, sure)
+    rows = neighbours(blocks(df, text).withColumn("_c", counted), document, at, tie, "_c", "_l")
+    return rows.withColumn("label", F.coalesce(sure, "_l", F.when(F.col("first") == "near", "good").otherwise("bad"))).drop("_c", "_l")
 
 
-def nodes(df: DataFrame, document: str, place: list[str]) -> DataFrame:
+def nodes(df: DataFrame, document: str, at: str, tie: str) -> DataFrame:
     """Adds plain (clean text), plain_raw (clean raw), marks and label to nodes of all kinds (kind, text and raw).
 
     Code and formulas stay as they are and are good. Nodes without a text of their own have null plain; their marks and
@@ -288,7 +348,7 @@ def nodes(df: DataFrame, document: str, place: list[str]) -> DataFrame:
     kept, own = F.col("kind").isin(*KEPT_KINDS), F.col("text").isNotNull()
     rows = documents(df.withColumn("_r", F.when(~kept, F.col("raw"))), "_r", "_clean")
     judged = F.when(~kept & (own | (F.col("_clean") != "")), F.coalesce("text", "raw"))
-    rows = labelled(rows.withColumn("_j", judged), document, place, "_j", F.col("kind").isin(*FLOW_KINDS))
+    rows = labelled(rows.withColumn("_j", judged), document, at, tie, "_j", F.col("kind").isin(*FLOW_KINDS))
     return rows.withColumns({
         "plain": F.when(kept, F.col("text")).when(own, F.col("plain")), "plain_raw": F.when(kept, F.col("raw")).otherwise(F.col("_clean")), "label": F.when(kept, "good").otherwise(F.col("label")),
     }).drop("_r", "_clean", "_j", "first")

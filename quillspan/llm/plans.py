@@ -29,12 +29,12 @@ def p1_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     blocks = table(spark, d, "markdown_nodes").where(F.col("kind").isin(*markup.TEXT_KINDS))
-    return markup.residue(blocks.select("md_doc_id", "id", "text"), "text").select("md_doc_id", "id").distinct()
+    return markup.residue(blocks, "md_doc_id", "id", "byte_start", "text")
 
 
 def p2_blocks(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "markdown_nodes").select("md_doc_id", "id", "kind", "text", "raw", "byte_start").dropDuplicates(["md_doc_id", "id"])
-    return markup.nodes(nodes, "md_doc_id", ["byte_start", "id"]).select("md_doc_id", "id", "kind", "plain", "plain_raw", "marks", "label")
+    return markup.nodes(nodes, "md_doc_id", "byte_start", "id").select("md_doc_id", "id", "kind", "plain", "plain_raw", "marks", "label")
 
 
 def p2_documents(spark: SparkSession, d: str) -> DataFrame:

@@ -79,10 +79,34 @@ def test_markup_blocks(spark):
     long = "The reader stops at the first of the anchors that has no end and the caller sees what it is. " * 4
     rows = [(1, 0, long), (1, 1, "short"), (1, 2, long), (2, 0, "a | b | c"), (3, 0, None), (3, 1, ""), (3, 2, "<i>x</i>")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "d long, n int, t string, label string").drop("label")
-    got = {(r.d, r.n): (r.plain, r.marks, r.label) for r in markup.labelled(df, "d", ["n"], "t").collect()}
+    got = {(r.d, r.n): (r.plain, r.marks, r.label) for r in markup.labelled(df.withColumn("i", F.lit("x")), "d", "n", "i", "t").collect()}
     assert got[1, 1][2] == got[1, 0][2] == "good" and got[3, 0] == (None, 0, "bad") and got[3, 1] == ("", 0, "bad") and got[3, 2][:2] == ("x", 2)
-    assert [(r.d, r.n) for r in markup.residue(df, "t").collect()] == [(3, 2)]
-    assert markup.residue(df.where("d > 9"), "t").count() == 0
+    assert [(r.d, r.i) for r in markup.residue(df.union(df).withColumn("i", F.col("n")), "d", "i", "n", "t").collect()] == [(3, 2)]
+    assert markup.residue(df.where("d > 9").withColumn("i", F.col("n")), "d", "i", "n", "t").count() == 0
+    halves = [(1, 0, "<b>x</b>"), (1, 100, "bold** end"), (1, 900_000, "far** end"), (1, 900_010, "plain"), (2, 0, "plain"), (2, 9, "bold** end")]
+    df = spark.createDataFrame(halves, "d long, n long, t string").withColumn("i", F.col("n"))
+    assert pairs_of(markup.residue(df, "d", "i", "n", "t").select("d", "i")) == {(1, 0), (1, 100)}
+
+
+def test_neighbours(spark):
+    rng = random.Random(2)
+    rows = [(d, rng.randrange(300), i, rng.choice([None, None, None, "a", "b"])) for d in range(4) for i in range(60)] + [(9, 5, 0, None), (None, 1, 0, "a"), (None, 2, 1, None)]
+    df = spark.createDataFrame([(*r, r[3]) for r in rows], "d long, n long, i long, l string, label string")
+    got = {(r.d, r.n, r.i): r.out for r in markup.neighbours(df, "d", "n", "i", "l", "out", shard=20).collect()}
+    for d, n, i, label in rows:
+        before = [(m, j, x) for e, m, j, x in rows if e == d and x and (m, j) <= (n, i)]
+        behind = [(m, j, x) for e, m, j, x in rows if e == d and x and (m, j) >= (n, i)]
+        up, down = max(before, default=None), min(behind, default=None)
+        want = label or (up and (not down or n - up[0] <= down[0] - n) and up[2]) or (down and down[2]) or None
+        assert got[d, n, i] == want
+
+
+def test_trigger_covers_the_grammar():
+    rng = random.Random(3)
+    pieces = ["a", "word", " ", "  ", "\t", "\n", "*", "**", "_", "#", "##", "`", "~~", "|", "---", "[", "]", "(", ")", "{{", "}}", "''", "==", "<b>", "</b>", "<br", "&amp;", "\\item", "\\textbf{", "}", "$x_1$", "[^1]", "http://a.b", "<!--", "\\("]
+    for _ in range(30_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9)))
+        assert not markup.strip(text)[1] or re.search(markup.TRIGGER, text), repr(text)
 
 
 def test_markup_document():
