@@ -169,7 +169,8 @@ def row_range(spark: SparkSession, d: str) -> DataFrame:
 
 
 def format_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return detect.candidates(table(spark, d, "documents"), "doc_id", "text")
+    found = detect.signals(table(spark, d, "documents").where("text is not null"), "doc_id", "text", packages=False)
+    return detect.candidates(found, "doc_id").select("doc_id", "format", "confidence", "decisive", "rank")
 
 
 def citation_status(spark: SparkSession, d: str) -> DataFrame:
@@ -294,9 +295,15 @@ FROM n c JOIN n r ON r.md_doc_id = c.md_doc_id AND r.id = c.parent_id WHERE c.ki
 l AS (SELECT repository, left(sha256(path), 2) AS leaf, count(*) AS m, sum(n) AS n, 'sha256:' || sha256(string_agg(path || ' ' || n || ' ' || h, chr(10) ORDER BY path || ' ' || n || ' ' || h)) AS x FROM x GROUP BY 1, 2)
 SELECT repository, CAST(sum(m) AS BIGINT) AS members, CAST(sum(n) AS BIGINT) AS bytes, 'sha256:' || sha256(string_agg(leaf || ' ' || x, chr(10) ORDER BY leaf)) AS identity FROM l GROUP BY 1""",
     "row_range": "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice LIMIT 250 OFFSET 500",
-    "format_candidates": "WITH s AS (" + " UNION ALL ".join(f"SELECT doc_id, '{f}' AS format, '{e}' AS evidence, {w} AS w FROM documents WHERE regexp_matches(text, '{_signal(p)}')" for f, e, p, w in detect.SIGNALS) + """),
-c AS (SELECT doc_id, format, round(1 - exp(sum(ln(1 - w))), 4) AS confidence, string_agg(evidence, ',' ORDER BY evidence) AS evidence FROM s GROUP BY 1, 2)
-SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, format) AS rank FROM c""",
+    "format_candidates": r"""WITH d AS (SELECT doc_id, text, upper(hex(encode(text)))[:1024] AS h, list_transform(list_filter(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: x <> '')[1:8], lambda x: regexp_replace(x, '"[^"]*"', '', 'g')) AS l FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, text, h, l, list_transform(l, lambda x: length(x) - length(replace(x, ',', ''))) AS c, list_transform(l, lambda x: length(x) - length(replace(x, chr(9), ''))) AS t FROM d),
+m AS (SELECT doc_id, CASE """ + " ".join(f"WHEN regexp_matches(h, '{p}') THEN {{'format': '{f}', 'evidence': '{e}', 'w': {w}}}" for f, e, p, w in ((f, e, p, w) for f, p, e, w in detect.MAGIC)) + """ END AS x FROM w),
+r AS (""" + " UNION ALL ".join(f"SELECT doc_id, '{f}' AS format, '{e}' AS evidence, {w} AS w FROM w WHERE regexp_matches(text, '{_signal(p)}')" for f, e, p, w in detect.SIGNALS) + """
+UNION ALL SELECT doc_id, 'csv', 'equal widths', 0.62 FROM w WHERE len(l) >= 2 AND len(list_distinct(c)) = 1 AND c[1] > 0 UNION ALL SELECT doc_id, 'tsv', 'equal widths', 0.62 FROM w WHERE len(l) >= 2 AND len(list_distinct(t)) = 1 AND t[1] > 0),
+s AS (SELECT *, false AS decisive FROM r UNION ALL SELECT doc_id, 'text', 'decodes as text', 0.44, false FROM w WHERE doc_id NOT IN (SELECT doc_id FROM r) UNION ALL SELECT doc_id, x.format, x.evidence, x.w, true FROM m WHERE x IS NOT NULL),
+c AS (SELECT doc_id, format, round(1 - exp(sum(ln(1 - w))) + 1e-9, 4) AS c, bool_or(decisive) AS decisive FROM s GROUP BY 1, 2),
+k AS (SELECT doc_id, format, decisive, CASE WHEN NOT decisive AND bool_or(decisive) OVER (PARTITION BY doc_id) THEN least(c, 0.84) ELSE c END AS confidence FROM c)
+SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, format) AS rank FROM k WHERE confidence >= 0.1""",
     "citation_status": f"""WITH d AS (SELECT DISTINCT repository, md_doc_id FROM markdown_documents), f AS (SELECT md_doc_id, lead(md_doc_id) OVER (PARTITION BY repository ORDER BY md_doc_id) AS scope FROM d),
 h AS (SELECT md_doc_id, id, 'sha256:' || sha256({_NORMAL('any_value(text)')}) AS x FROM markdown_nodes WHERE kind = 'heading' AND text IS NOT NULL GROUP BY 1, 2),
 a AS (SELECT f.scope, h.id AS anchor, h.x FROM h JOIN f USING (md_doc_id) WHERE f.scope IS NOT NULL), n AS (SELECT md_doc_id, x, count(*) AS n FROM h GROUP BY 1, 2)
