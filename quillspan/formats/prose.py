@@ -385,7 +385,7 @@ def parse_markdown(data: bytes, options: dict, dialect: str = "common_mark") ->
     return tree
 
 
-_RST_ADORN = re.compile(r"([!-/:-@\[-`{-~])\1{2,}\s*$")
+_RST_ADORN = re.compile(r"([!-/:-@\[-`{-~])\1*\s*$")
 _RST_DIRECTIVE = re.compile(r"(\s*)\.\. (?:\|(?P<sub>[^|]+)\| )?(?P<name>[\w:+.-]+)::\s*(?P<arg>.*)$")
 _RST_ROLE = re.compile(r":(?P<role>[\w:+.-]+):`(?P<rt>[^`]+)`|``(?P<lit>[^`]+)``|`(?P<ref>[^`<]+?)(?:\s*<(?P<url>[^<>]+)>)?`(?P<us>__?)|\[(?P<fn>#?\w+|\*)\]_|\*\*(?P<st>[^*]+)\*\*|(?<!\w)\*(?P<em>[^*\s][^*]*)\*|(?<![\w`])(?P<simple>[A-Za-z][\w.-]*)_(?!\w)|\|(?P<subst>[^|\s][^|]*)\|")
 
@@ -421,7 +421,7 @@ def parse_rst(data: bytes, options: dict) -> Tree:
             i += 1
             continue
         over = _RST_ADORN.match(line.text) and i + 2 < len(lines) and not lines[i + 1].blank and lines[i + 2].text.rstrip() == line.text.rstrip()
-        under = i + 1 < len(lines) and _RST_ADORN.match(lines[i + 1].text) and not line.text.startswith((" ", "\t")) and not _RST_ADORN.match(line.text) and len(lines[i + 1].text.rstrip()) >= len(line.text.rstrip()) * (1 if len(line.text.rstrip()) > 3 else 0)
+        under = i + 1 < len(lines) and _RST_ADORN.match(lines[i + 1].text) and not line.text.startswith((" ", "\t")) and not _RST_ADORN.match(line.text) and len(lines[i + 1].text.rstrip()) >= len(line.text.rstrip())
         if over or under:
             title, mark = (lines[i + 1], line.text[0]) if over else (line, lines[i + 1].text[0])
             style = (mark, bool(over))

@@ -164,3 +164,137 @@ def obligation(sentence: Column) -> Column:
         F.lower(part[0]).alias("trigger"), F.trim(part[1]).alias("condition"), F.when(subject != "", subject).alias("subject"), F.replace(modal, F.lit(" "), F.lit("_")).alias("modality"),
         polarity.alias("polarity"), action.alias("action"), relation.alias("relation"),
     ))
+
+
+def cell_place(reference: Column) -> Column:
+    """row and column (from 0) of an A1 reference, dollar signs aside; null for anything else."""
+    m = r"^\$?([A-Za-z]{1,3})\$?([1-9][0-9]{0,6})$"
+    letters = F.split(F.upper(F.regexp_extract(reference, m, 1)), "")
+    column = F.aggregate(letters, F.lit(0), lambda n, c: n * 26 + F.ascii(c) - 64) - 1
+    return F.when(reference.rlike(m), F.struct((F.regexp_extract(reference, m, 2).try_cast("int") - 1).alias("row"), column.alias("column")))
+
+
+def citation_label(kind: Column, start: Column, end: Column, name: Column) -> Column:
+    """What a locator is called: lines, pages, slides and the like with a number or a range, cells with their sheet, times
+    as a clock, anything else by its name."""
+    span = F.when(end.isNull() | (end == start), start.cast("string")).otherwise(F.concat_ws("-", start.cast("string"), end.cast("string")))
+    titles = {"line": "line", "page": "page", "slide": "slide", "byte": "bytes", "record": "record", "row": "row", "member": "member", "paragraph": "paragraph", "section": "section", "column": "column", "frame": "frame", "message": "message"}
+    clock = F.format_string("%02d:%02d:%02d.%03d", F.floor(start / 3600000), F.floor(start / 60000) % 60, F.floor(start / 1000) % 60, start % 1000)
+    numbered = F.concat_ws(" ", F.element_at(F.create_map(*[F.lit(x) for p in titles.items() for x in p]), kind), span)
+    return F.when(kind == "cell", F.concat_ws("!", name, cell_label(start, end))).when(kind == "time", clock).when(kind.isin(*titles) & start.isNotNull(), numbered).otherwise(name)
+
+
+def association_key(text: Column) -> Column:
+    """Letters and digits in lower case, anything between as one space."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def caption_kind(text: Column) -> Column:
+    """figure or table, by how a caption begins; else null."""
+    return F.when(text.rlike(r"(?i)^\s*(figure|fig\.?)\s*[0-9ivxlc]+"), "figure").when(text.rlike(r"(?i)^\s*(table|tab\.)\s*[0-9ivxlc]+"), "table")
+
+
+def list_marker(text: Column) -> Column:
+    """marker and ordered of a list line, or null: a bullet, or a number, Roman number or letter with a point, bracket or
+    colon, before white space."""
+    first = F.regexp_extract(text, r"^\s*(\S+)(?:\s|$)", 1)
+    bullet = first.isin("-", "*", "+", "•", "‣", "◦", "▪")
+    number = first.rlike(r"^\(?(?:[0-9]+|[ivxlcdmIVXLCDM]{1,4}|[A-Za-z])[.):]$")
+    return F.when(bullet | number, F.struct(first.alias("marker"), number.alias("ordered")))
+
+
+def visible_latex(text: Column) -> Column:
+    """LaTeX text without comments, commands and braces."""
+    s = F.regexp_replace(text, r"(?<!\\)%[^\n]*", "")
+    s = F.regexp_replace(s, r"\\(?:label|ref|cite\w*|eqref|pageref)\*?(?:\[[^\]]*\])?\{[^{}]*\}", "")
+    s = F.regexp_replace(s, r"\\([%&#_{}$ ])", "$1")
+    s = F.regexp_replace(F.regexp_replace(s, r"\\\\", " "), r"\\[A-Za-z@]+\*?(?:\[[^\]]*\])?\s*", "")
+    return collapsed(F.regexp_replace(s, r"[{}~]", " "))
+
+
+def escape_markdown(text: Column) -> Column:
+    """Text that Markdown shows as it is."""
+    return F.regexp_replace(text, r"([\\`*_{}\[\]<>()#+!|~-])", r"\\$1")
+
+
+def inert_code(text: Column) -> Column:
+    """Text as a fenced block, the fence being longer than any run of ticks in it."""
+    longest = F.array_max(F.concat(F.array(F.lit(2)), F.transform(F.regexp_extract_all(text, F.lit("`+"), F.lit(0)), lambda x: F.length(x))))
+    fence = F.repeat(F.lit("`"), longest + 1)
+    return F.concat(fence, F.lit("\n"), text, F.lit("\n"), fence)
+
+
+def escape_latex(text: Column) -> Column:
+    s = F.replace(text, F.lit("\\"), F.lit("\x00"))
+    s = F.regexp_replace(s, r"([&%$#_{}])", r"\\$1")
+    for a, b in (("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}"), ("\x00", r"\textbackslash{}")):
+        s = F.replace(s, F.lit(a), F.lit(b))
+    return s
+
+
+def percent_decoded(text: Column) -> Column:
+    """%xx decoded as UTF-8; a plus stays a plus, and text with a damaged escape stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+
+def member_path(path: Column) -> Column:
+    """path and reason: an archive member's path in one form, or why it is refused (absolute, parent steps, control
+    characters, too long or too deep)."""
+    flat = F.replace(path, F.lit("\\"), F.lit("/"))
+    parts = F.filter(F.split(flat, "/"), lambda p: ~p.isin("", "."))
+    reason = (
+        F.when(F.coalesce(path, F.lit("")) == "", "empty_path").when(F.octet_length(path) > 4096, "path_too_long").when(path.rlike(r"[\x00-\x1f\x7f-\x9f]"), "control_character").when(flat.rlike(r"^(/|[A-Za-z]:)"), "absolute_path")
+        .when(F.array_contains(parts, ".."), "parent_traversal").when(F.size(parts) > 256, "too_many_components").when(F.size(parts) == 0, "empty_path")
+    )
+    return F.struct(F.when(reason.isNull(), F.array_join(parts, "/")).alias("path"), reason.alias("reason"))
+
+
+def ical_temporal(value: Column, zone: Column) -> Column:
+    """kind (date, utc, zoned, floating or invalid), iso and zone of a calendar value."""
+    m = r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(\d{2})(Z?))?$"
+    g = [F.regexp_extract(value, m, i) for i in range(8)]
+    day, time = F.concat_ws("-", *g[1:4]), F.concat_ws(":", *g[4:7])
+    good = value.rlike(m) & F.try_to_date(day, "yyyy-MM-dd").isNotNull() & ((g[4] == "") | (g[4] <= "23") & (g[5] <= "59") & (g[6] <= "60"))
+    kind = F.when(~good | value.isNull(), "invalid").when(g[4] == "", "date").when(g[7] == "Z", "utc").when(zone.isNotNull(), "zoned").otherwise("floating")
+    iso = F.when(good, F.when(g[4] == "", day).otherwise(F.concat(day, F.lit("T"), time, g[7])))
+    return F.struct(kind.alias("kind"), iso.alias("iso"), F.when(kind == "zoned", zone).alias("zone"))
+
+
+def recurrence(rule: Column) -> Column:
+    """The parts of a recurrence rule as a map and whether it is valid; it is never expanded."""
+    names = r"(?:FREQ|UNTIL|COUNT|INTERVAL|BYSECOND|BYMINUTE|BYHOUR|BYDAY|BYMONTHDAY|BYYEARDAY|BYWEEKNO|BYMONTH|BYSETPOS|WKST)"
+    pieces = F.split(rule, ";")
+    keys = F.transform(pieces, lambda p: F.upper(F.split_part(p, F.lit("="), F.lit(1))))
+    shape = F.forall(pieces, lambda p: p.rlike(rf"(?i)^{names}=.+$")) & (F.size(F.array_distinct(keys)) == F.size(keys))
+    ok = shape & rule.rlike(r"(?i)(^|;)FREQ=(SECONDLY|MINUTELY|HOURLY|DAILY|WEEKLY|MONTHLY|YEARLY)(;|$)") & ~(F.array_contains(keys, "COUNT") & F.array_contains(keys, "UNTIL")) & ~rule.rlike(r"(?i)(^|;)(COUNT|INTERVAL)=(0+|[^0-9;]+)(;|$)")
+    return F.struct(F.when(shape, F.map_from_entries(F.transform(pieces, lambda p: F.struct(F.upper(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), F.split_part(p, F.lit("="), F.lit(2)).alias("v"))))).alias("parts"), ok.alias("valid"))
+
+
+def box_overlap(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Shared area of two boxes (left, top, right, bottom) over the area of the smaller one; null if one has no area."""
+    w = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0]))
+    h = F.greatest(F.lit(0.0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
+    areas = [(x[2] - x[0]) * (x[3] - x[1]) for x in (a, b)]
+    return F.when((areas[0] > 0) & (areas[1] > 0), w * h / F.least(*areas))
+
+
+def locator_problem(kind: Column, start: Column, end: Column, size: Column) -> Column:
+    """Why a locator is invalid, or null: unknown kind, no start, below its base (pages, lines and slides count from 1),
+    reversed, or beyond the size of what it points into."""
+    from_one = kind.isin("line", "page", "slide", "column")
+    known = from_one | kind.isin("byte", "record", "row", "cell", "time", "member", "frame", "message", "paragraph", "section")
+    return F.when(~F.coalesce(known, F.lit(False)), "unknown_kind").when(start.isNull(), "no_start").when((from_one & (start < 1)) | (start < 0), "below_base").when(end < start, "reversed").when(size.isNotNull() & (F.coalesce(end, start) > size), "out_of_range")
+
+
+def artifact_risk(media: Column, filename: Column, content: Column) -> Column:
+    """inert, document, active, archive or executable: the highest that the leading bytes, the media type or the file's
+    extension suggest."""
+    ranks = ("inert", "document", "active", "archive", "executable")
+    head = F.hex(F.substring(content, 1, 8))
+    name, kind = F.lower(filename), F.lower(media)
+    found = F.array(
+        F.when(head.rlike("^(4D5A|7F454C46|CAFEBABE|FEEDFACE|FEEDFACF|CFFAEDFE|0061736D|2321)"), 4).when(head.rlike("^(504B0304|1F8B|377ABCAF|425A68|FD377A58)"), 3).when(head.rlike("^(25504446|D0CF11E0)"), 1).otherwise(0),
+        F.when(kind.rlike("(x-msdownload|x-executable|x-sh$|x-msdos|java-archive|wasm)"), 4).when(kind.rlike("(zip|x-tar|gzip|x-7z|x-bzip2)"), 3).when(kind.rlike("(javascript|html|svg|macroenabled)"), 2).when(kind.rlike("(pdf|msword|officedocument|opendocument|rtf)"), 1).otherwise(0),
+        F.when(name.rlike(r"\.(exe|dll|so|dylib|com|bat|cmd|ps1|sh|jar|msi|scr|vbs|wasm|class)$"), 4).when(name.rlike(r"\.(zip|tar|gz|tgz|7z|bz2|xz|rar)$"), 3).when(name.rlike(r"\.(js|mjs|html?|svg|docm|xlsm|pptm|dotm)$"), 2).when(name.rlike(r"\.(pdf|docx?|xlsx?|pptx?|od[tsp]|rtf)$"), 1).otherwise(0),
+    )
+    return F.element_at(F.array(*map(F.lit, ranks)), F.array_max(found) + 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,24 +61,28 @@ def decoded(df: DataFrame, content: str, transport: str | None = None, default:
     # an 8-bit declaration can't hold in text whose units are wider
     declared = F.array_compact(F.array(*[F.when(raw.isNotNull(), F.struct(F.lit(n).alias("source"), raw.alias("label"), e.alias("encoding"))) for n, raw, e in sources]))
     known = F.filter(declared, lambda d: d["encoding"].isNotNull())
-    rest = F.substring(c, 1, 1 << 30)
     auto = F.when(F.is_valid_utf8(c.cast("string")), "utf-8").otherwise(default)
     rows = df.withColumns({"declared": declared, "_k": known}).withColumn("encoding", F.coalesce(F.get("_k", F.lit(0))["encoding"], auto))
     rows = rows.withColumn("chosen_by", F.coalesce(F.get("_k", F.lit(0))["source"], F.lit("content"))).withColumn("conflict", F.size(F.array_distinct(F.transform("_k", lambda d: d["encoding"]))) > 1).drop("_k")
-    body = F.when(mark(c).isNotNull(), F.expr(f"substring(cast(`{content}` as binary), 1 + {F_mark_length(content)})")).otherwise(rest)
-    codecs = sorted(set(LABELS.values()) - {"utf-8"})
-    text = F.when(F.col("encoding") == "utf-8", F.make_valid_utf8(body.cast("string")))
-    for codec in codecs:
-        text = text.when(F.col("encoding") == codec, F.expr(f"decode(_body, '{JAVA.get(codec, codec)}')"))
-    rows = rows.withColumn("_body", F.when(c.isNotNull(), body)).withColumn("text", F.when(c.isNotNull(), text)).drop("_body")
+    body = F.when(c.isNotNull(), F.expr(f"substring(cast(`{content}` as binary), 1 + {_mark_length(content)})"))
+    rows = rows.withColumn("_body", body)
+
+    @F.pandas_udf("string")
+    def other(bodies: pd.Series, encodings: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else bytes(b).decode(PYTHON.get(e, e), "replace").encode("utf-8", "replace").decode() for b, e in zip(bodies, encodings)], dtype=object)
+
+    # UTF-8 stays in the JVM; other encodings, and only these rows, go through Python's tables
+    foreign = other(F.when(F.col("encoding") != "utf-8", F.col("_body")), F.col("encoding"))
+    text = F.when(F.col("encoding") == "utf-8", F.make_valid_utf8(F.col("_body").cast("string"))).otherwise(foreign)
+    rows = rows.withColumn("text", text).drop("_body")
     return rows.withColumn("replaced", F.regexp_count("text", F.lit("�"))).withColumns({k: F.when(c.isNotNull(), F.col(k)) for k in ("encoding", "chosen_by", "conflict")})
 
 
-#: Names of encodings in Java where they differ.
-JAVA = {"macintosh": "x-MacRoman", "utf-32le": "UTF-32LE", "utf-32be": "UTF-32BE"}
+#: Names of encodings in Python where they differ.
+PYTHON = {"macintosh": "mac_roman"}
 
 
-def F_mark_length(content: str) -> str:  # noqa: N802
+def _mark_length(content: str) -> str:
     """SQL for the bytes of the mark of a column."""
     head = f"hex(substring(cast(`{content}` as binary), 1, 4))"
     return "CASE " + " ".join(f"WHEN startswith({head}, '{h}') THEN {n}" for h, _, n in MARKS) + " ELSE 0 END"

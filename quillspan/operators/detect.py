@@ -75,7 +75,12 @@ def text_sample(content: Column) -> Column:
     head = F.substring(content, 1, SAMPLE_BYTES)
     mark = F.hex(F.substring(content, 1, 3))
     plain = F.make_valid_utf8(F.when(mark == "EFBBBF", F.substring(head, 4, SAMPLE_BYTES)).otherwise(head).cast("string"))
-    wide = F.when(mark.startswith("FFFE"), F.decode(F.substring(head, 3, SAMPLE_BYTES), "UTF-16LE")).when(mark.startswith("FEFF"), F.decode(F.substring(head, 3, SAMPLE_BYTES), "UTF-16BE"))
+
+    @F.pandas_udf("string")
+    def decoded(heads: pd.Series) -> pd.Series:
+        return heads.map(lambda b: None if b is None else bytes(b)[: len(b) // 2 * 2].decode("utf-16", "ignore"))
+
+    wide = decoded(F.when(mark.startswith("FFFE") | mark.startswith("FEFF"), head))
     controls = F.regexp_count(F.left(plain, F.lit(4096)), F.lit(r"[\x00-\x08\x0E-\x1A\x1C-\x1F]"))
     return F.coalesce(wide, F.when((controls == 0) | (controls * 50 < F.length(F.left(plain, F.lit(4096)))) & ~F.contains(plain, F.lit("\x00")), plain))
 
