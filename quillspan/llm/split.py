@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspan.session import Scratch
+
 LIMIT = 4000
 OVERLAP = 200
 #: Bytes of a range, of its halos and of a cell, and ranges of a section.
@@ -223,6 +225,7 @@ def _offsets(tables: DataFrame, limit: int, overlap: int) -> DataFrame:
     """k, h, piece, start, end, cut and stop (bytes) from range tables (k, h, r, chars, bytes, table); one h for each k."""
     if not 0 <= overlap < limit // 2 or limit < 4 * CELL:
         raise ValueError(f"the overlap must be less than half the limit, and the limit {4 * CELL} or more")
+    tables = Scratch(tables.sparkSession, "split").put(tables, "tables")  # small beside the texts, and read for states and for pieces
     tables = tables.groupBy("k", "h", "r").agg(F.first(F.struct("chars", "bytes", "table")).alias("t")).select("k", "h", "r", "t.*")
     shared = F.when((F.col("r") > 0) & (F.col("r") % SECTION == 0), F.array(F.expr(f"r div {SECTION}"), F.expr(f"r div {SECTION} - 1"))).otherwise(F.array(F.expr(f"r div {SECTION}")))
     sections = tables.select("k", "h", F.explode(shared).alias("sec"), "r", "chars", "bytes", "table").groupBy("k", "h", "sec").agg(F.array_sort(F.collect_list(F.struct("r", "chars", "bytes", "table"))).alias("ranges"))
