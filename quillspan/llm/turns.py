@@ -180,7 +180,8 @@ def _swept(rows: DataFrame, pause: float) -> DataFrame:
     again = F.contains(words("before"), F.substring_index(words("said"), " ", 2)) & F.contains(F.col("said"), F.lit(" "))
     rows = rows.withColumn("again", F.coalesce(again, F.lit(False)))
     rows = rows.withColumn("fresh", F.coalesce(unsaid(F.when(F.col("again"), F.col("said")), F.when(F.col("again"), F.col("before"))), "said"))
-    rows = rows.where(F.col("head") | ~F.col("who").eqNullSafe(F.col("was")) | (F.col("fresh") != "")).drop("again", "before", "said", "c_said")
+    rows = rows.where(F.col("head") | ~F.col("who").eqNullSafe(F.col("was")) | (F.col("fresh") != "")).select("rec", "w", "s", "i", "e", "who", "was", "head", "gap", "fresh")
+    rows = Scratch(rows.sparkSession, "turns").put(rows, "swept")  # read for the recordings' pauses and for the turns
     limits = rows.where("gap > 0").groupBy(F.col("rec").alias("lrec")).agg(F.greatest(F.percentile_approx("gap", pause), F.lit(MIN_PAUSE_MS)).alias("limit"))
     rows = rows.join(limits, F.col("rec").eqNullSafe(F.col("lrec")), "left")
     cause = F.when(F.col("head"), "first").when(~F.col("who").eqNullSafe(F.col("was")), "person").when(F.col("gap") > F.col("limit"), "pause")
