@@ -14,9 +14,9 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -105,8 +105,8 @@ def _linked(s: str) -> bool:
     return "://" in s or "](" in s or "<a" in s or "<A" in s or "www." in s or "." in s and _TLD.search(s) is not None
 
 
-def features(text: str) -> tuple[tuple[float, ...], str]:
-    """The features of a page that need no vocabulary, and its units for those that do.
+def features(text: str) -> tuple[tuple[float, ...], str, list[str]]:
+    """The features of a page that need no vocabulary, its units for those that do, and the different told words.
 
     A line for each unit: its characters, 1 if its links are bare, the number of words that are told (neither function
     words nor numbers) and these words; the last line has the letters of all words.
@@ -178,7 +178,7 @@ def features(text: str) -> tuple[tuple[float, ...], str]:
     return (
         math.log1p(total), n_stops / n, sentences / total, links / total, bare / total, repeats, len(counts) / n, sum(map(s.count, "0123456789")) / total, code / total,
         len(_HASHTAG.findall(s)) / n, disguise, seps / n, min(1.0, len(known) / min(12.0, max(2.0, n / 6))), top_word, min(1.0, top_pairs), min(50.0, unit_words / max(1, len(lines) - 1)),
-    ), "\n".join(lines)
+    ), "\n".join(lines), list(set(content))
 
 
 def worded(lines: str, vocabulary: frozenset[str]) -> tuple[float, float, float]:
@@ -214,11 +214,10 @@ def first_label(f: dict[str, float]) -> int | None:
 def vocabulary(pages: DataFrame) -> frozenset[str]:
     """The words that are far more frequent, by documents, among first-label spam than among first-label honest pages.
 
-    pages: columns first (label) and lines (units). Counted over all pages, and no word that counts is left out; what
+    pages: columns first (label) and words (the different ones of a page). Counted over all pages, and no word that counts is left out; what
     reaches the driver is bounded by ``WORD_SHARE``, whatever the number of pages.
     """
-    words = F.array_distinct(F.split(F.regexp_replace("lines", r"(?m)^\d+(?: [01] \d+)? ?", ""), "[ \n]+"))
-    marked = pages.where("first is not null").select("first", F.explode(words).alias("word")).where("word != ''")
+    marked = pages.where("first is not null").select("first", F.explode("words").alias("word"))
     counts = marked.groupBy("word").agg(F.count_if(F.col("first") == 1).alias("spam"), F.count_if(F.col("first") == 0).alias("honest"))
     total = pages.agg(F.count_if(F.col("first") == 1).alias("spam"), F.count_if(F.col("first") == 0).alias("honest")).first()
     if not total.spam:
@@ -239,19 +238,23 @@ def judge(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
     pages = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(host).alias("h"))
     full = pages.where(F.col("t").rlike(r"\S"))
 
-    @F.pandas_udf(", ".join(f"{f} double" for f in PLAIN) + ", first int, lines string")
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = [(*f, first_label(dict(zip(PLAIN, f))), lines) for f, lines in map(features, texts)]
-            yield pd.DataFrame(rows, columns=[*PLAIN, "first", "lines"]).astype({"first": "Int64"})
+    kinds = [*((f, pa.float64()) for f in PLAIN), ("first", pa.int32()), ("lines", pa.string()), ("words", pa.list_(pa.string()))]
+
+    @F.arrow_udf("struct<" + ", ".join(f"{f}: double" for f in PLAIN) + ", first: int, lines: string, words: array<string>>")
+    def read(texts: pa.Array) -> pa.Array:
+        rows = [features(t) for t in texts.to_pylist()]
+        table = np.array([f for f, *_ in rows], np.float64).reshape(len(rows), len(PLAIN))
+        labels = [first_label(dict(zip(PLAIN, f))) for f, *_ in rows]
+        columns = [*(pa.array(table[:, i]) for i in range(len(PLAIN))), pa.array(labels, pa.int32()), pa.array([x for _, x, _ in rows], pa.string()), pa.array([w for *_, w in rows], pa.list_(pa.string()))]
+        return pa.StructArray.from_arrays(columns, fields=[pa.field(n, k) for n, k in kinds])
 
     units = scratch.put(full.select("k", "h", read("t").alias("f")).select("k", "h", "f.*"), "units")
     words = vocabulary(units)
 
-    @F.pandas_udf(", ".join(f"{f} double" for f in WORDED))
-    def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for lines in batches:
-            yield pd.DataFrame([worded(x, words) for x in lines], columns=list(WORDED))
+    @F.arrow_udf("struct<" + ", ".join(f"{f}: double" for f in WORDED) + ">")
+    def weigh(lines: pa.Array) -> pa.Array:
+        found = np.array([worded(x, words) for x in lines.to_pylist()], np.float64).reshape(len(lines), len(WORDED))
+        return pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(WORDED))], names=list(WORDED))
 
     table = scratch.put(units.withColumn("w", weigh("lines")).select("k", "h", *PLAIN, "first", "w.*"), "features")
     scratch.drop("units")
