@@ -107,3 +107,10 @@ def words(pattern: str = r"\S+"):
     """A token counter of words by pattern, as a segment tokenizer."""
     rule = re.compile(pattern)
     return lambda text: sum(1 for _ in rule.finditer(text))
+
+
+def formula_references(formula: Column) -> Column:
+    """The cells and ranges a spreadsheet formula names, each once, in order."""
+    from quillspan.formats.office import formula_references as references
+
+    return _each("array<string>", references)(formula)

@@ -100,3 +100,22 @@ def heading_paths(blocks: DataFrame, shard: int = 65_536) -> DataFrame:
             alive = alive & (u.isNull() | (u < F.col(f"h{n}")))
         kept.append(F.when(alive, F.coalesce(F.col(f"h{n}.text"), F.lit(""))))
     return rows.select(F.col("md_doc_id").alias("graph_id"), "id", F.array_join(F.array_compact(F.array(*kept)), " > ").alias("path"))
+
+
+def canonical_keys(nodes: DataFrame, graph: str = "graph_id", node: str = "id", parent: str = "parent", ordinal: str = "ordinal", at: str = "byte_start") -> DataFrame:
+    """graph, node and key: sorting by key puts the nodes of a graph in canonical order, each behind its parent, siblings by
+    ordinal (those without one last), place and id. Nodes on cycles and below them come last, by id.
+
+    The key is the chain of these from the root, so the order is one range sort of any size and no walk over the tree.
+    """
+    from quillspan.operators.hierarchy import hierarchy
+
+    rows = nodes.select(F.col(graph).alias("g"), F.col(node).alias("n"), F.nullif(F.col(parent), F.lit("")).alias("p"), F.lpad(F.coalesce(F.col(ordinal).cast("string"), F.lit("9999999999")), 10, "0").alias("o"), F.lpad(F.coalesce(F.col(at).cast("string"), F.lit("9999999999999")), 13, "0").alias("a"))
+    rows = rows.where("n is not null").groupBy("g", "n").agg(F.min(F.struct("p", "o", "a")).alias("x")).select("g", "n", "x.*")
+    own = F.concat_ws("\x1f", "o", "a", "n")
+    named = rows.select("g", "n", "p", own.alias("k"))
+    up = named.select("g", F.col("n").alias("p"), F.col("k").alias("pk"))
+    linked = named.join(up, ["g", "p"], "left").select("g", "n", "k", F.coalesce("pk", "p").alias("pk"))
+    tree = hierarchy(linked, "g", "k", "pk")
+    key = F.coalesce(F.array_join("path", "\x1e"), F.concat(F.lit("\x7f"), "n"))
+    return linked.select("g", "n", "k").join(tree.select("g", "k", "path"), ["g", "k"]).select(F.col("g").alias(graph), F.col("n").alias(node), key.alias("key"))
