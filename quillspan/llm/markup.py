@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.session import Scratch
+
 TEXT_KINDS = ("heading", "paragraph", "list_item", "table_cell")
 #: Blocks with running text of their own, whose labels count for their neighbours.
 FLOW_KINDS = (*TEXT_KINDS, "html_block", "footnote_definition")
@@ -335,7 +337,8 @@ def labelled(df: DataFrame, document: str, at: str, tie: str, text: str, counts:
     """
     sure = F.when(F.col("first").isin("good", "bad"), F.col("first"))
     counted = sure if counts is None else F.when(counts, sure)
-    rows = neighbours(blocks(df, text).withColumn("_c", counted), document, at, tie, "_c", "_l")
+    rows = Scratch(df.sparkSession, "markup").put(blocks(df, text).withColumn("_c", counted), "blocks")  # cleaning is dear and its result is read twice
+    rows = neighbours(rows, document, at, tie, "_c", "_l")
     return rows.withColumn("label", F.coalesce(sure, "_l", F.when(F.col("first") == "near", "good").otherwise("bad"))).drop("_c", "_l")
 
 
