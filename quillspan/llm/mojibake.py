@@ -38,7 +38,7 @@ _LATIN = re.compile("[A-Za-z]")
 #: every word is one more chance for a word to look garbled.
 SWAP_SCORE = 4.0
 WORD_SCORE = 6.0
-CHANCE_SCORE = 3.0
+CHANCE_SCORE = 1.5
 #: Texts with these are left out when pairs are counted: UTF-8 read as a legacy encoding, lost characters.
 _NOT_SOUND = "[ÂÃ][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|â€|├|√[^ ]|Г[^ а-яА-Я]|\ufffd"
 
