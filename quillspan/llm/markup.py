@@ -272,12 +272,13 @@ def blocks(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_b", x).withColumns({"plain": F.coalesce("_b.plain", F.col(text)), "marks": F.coalesce("_b.marks", F.lit(0)), "first": F.coalesce("_b.first", F.lit("bad"))}).drop("_b")
 
 
-def neighbours(df: DataFrame, document: str, at: str, tie: str, label: str, to: str, shard: int = SHARD) -> DataFrame:
+def neighbours(df: DataFrame, document: str, at: str, tie: str, label: str, to: str, shard: int = SHARD, once: bool = False) -> DataFrame:
     """The table with column ``to``: the label, or where it is null that of the nearest row that has one, by places ``at``
     in the same document; of two equally near ones the one before. Null if the document has no label at all.
 
     A document is cut into shards of ``shard`` places. A row looks in its own shard and, by way of one row per shard, at
     the nearest labels in the shards before and behind; no task holds a whole document. Rows without a place come first.
+    once: of rows with the same place and tie one is kept, without another shuffle.
     """
     rows = df.withColumns({"_a": F.coalesce(F.col(at).cast("long"), F.lit(-1)), "_w": F.coalesce(F.floor(F.col(at) / shard), F.lit(-1))})
     own = F.when(F.col(label).isNotNull(), F.struct(F.col(label).alias("l"), F.col("_a").alias("a")))
@@ -294,6 +295,7 @@ def neighbours(df: DataFrame, document: str, at: str, tie: str, label: str, to:
     rows = rows.join(carry, F.col(document).eqNullSafe(F.col("_d")) & (F.col("_w") == F.col("_cw")))
     up, down = F.coalesce("_up", "_cu"), F.coalesce("_down", "_cd")
     nearest = F.when(down.isNull() | (F.col("_a") - up["a"] <= down["a"] - F.col("_a")), up["l"]).otherwise(down["l"])
+    rows = rows.dropDuplicates([document, "_w", "_a", tie]) if once else rows
     return rows.withColumn(to, F.coalesce(F.col(label), nearest)).drop("_a", "_w", "_up", "_down", "_d", "_cw", "_cu", "_cd")
 
 
@@ -330,31 +332,39 @@ def residue(df: DataFrame, document: str, node: str, at: str, text: str) -> Data
     return found.where("label = 'marked' and (first is not null or half)").select(document, node)
 
 
+def _second(rows: DataFrame, document: str, at: str, tie: str, counts: Column | None) -> DataFrame:
+    """Column label (good or bad) for rows with first: decided ones keep theirs, others take a neighbour's. Repeated rows of
+    a place and tie count once."""
+    sure = F.when(F.col("first").isin("good", "bad"), F.col("first"))
+    counted = sure if counts is None else F.when(counts, sure)
+    rows = Scratch(rows.sparkSession, "markup").put(rows.withColumn("_c", counted), "blocks")  # cleaning is dear and its result is read twice
+    rows = neighbours(rows, document, at, tie, "_c", "_l", once=True)
+    return rows.withColumn("label", F.coalesce(sure, "_l", F.when(F.col("first") == "near", "good").otherwise("bad"))).drop("_c", "_l")
+
+
 def labelled(df: DataFrame, document: str, at: str, tie: str, text: str, counts: Column | None = None) -> DataFrame:
     """``blocks`` and column label (good or bad) after the second pass over the blocks of each document in order.
 
     Rows for which ``counts`` is false are labelled, but are no neighbours to others.
     """
-    sure = F.when(F.col("first").isin("good", "bad"), F.col("first"))
-    counted = sure if counts is None else F.when(counts, sure)
-    rows = Scratch(df.sparkSession, "markup").put(blocks(df, text).withColumn("_c", counted), "blocks")  # cleaning is dear and its result is read twice
-    rows = neighbours(rows, document, at, tie, "_c", "_l")
-    return rows.withColumn("label", F.coalesce(sure, "_l", F.when(F.col("first") == "near", "good").otherwise("bad"))).drop("_c", "_l")
+    return _second(blocks(df, text), document, at, tie, counts)
 
 
-def nodes(df: DataFrame, document: str, at: str, tie: str) -> DataFrame:
+def nodes(df: DataFrame, document: str, at: str, tie: str, columns: list[str] | None = None) -> DataFrame:
     """Adds plain (clean text), plain_raw (clean raw), marks and label to nodes of all kinds (kind, text and raw).
 
     Code and formulas stay as they are and are good. Nodes without a text of their own have null plain; their marks and
     label are those of raw. Labels of neighbours come from ``FLOW_KINDS`` alone, as other nodes lie inside or around these.
+    columns: the columns of the table that are kept, all if none are named; texts that nobody reads again are not moved.
     """
     kept, own = F.col("kind").isin(*KEPT_KINDS), F.col("text").isNotNull()
     rows = documents(df.withColumn("_r", F.when(~kept, F.col("raw"))), "_r", "_clean")
     judged = F.when(~kept & (own | (F.col("_clean") != "")), F.coalesce("text", "raw"))
-    rows = labelled(rows.withColumn("_j", judged), document, at, tie, "_j", F.col("kind").isin(*FLOW_KINDS))
-    return rows.withColumns({
-        "plain": F.when(kept, F.col("text")).when(own, F.col("plain")), "plain_raw": F.when(kept, F.col("raw")).otherwise(F.col("_clean")), "label": F.when(kept, "good").otherwise(F.col("label")),
-    }).drop("_r", "_clean", "_j", "first")
+    rows = blocks(rows.withColumn("_j", judged), "_j")
+    rows = rows.withColumns({"plain": F.when(kept, F.col("text")).when(own, F.col("plain")), "plain_raw": F.when(kept, F.col("raw")).otherwise(F.col("_clean"))})
+    wanted = list(dict.fromkeys([*(columns or df.columns), document, at, tie, "kind"]))
+    rows = _second(rows.select(*wanted, "plain", "plain_raw", "marks", "first"), document, at, tie, F.col("kind").isin(*FLOW_KINDS))
+    return rows.withColumn("label", F.when(kept, "good").otherwise(F.col("label"))).select(*(columns or df.columns), "plain", "plain_raw", "marks", "label")
 
 
 def documents(df: DataFrame, text: str, to: str) -> DataFrame:

@@ -33,8 +33,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_blocks(spark: SparkSession, d: str) -> DataFrame:
-    nodes = table(spark, d, "markdown_nodes").select("md_doc_id", "id", "kind", "text", "raw", "byte_start").dropDuplicates(["md_doc_id", "id"])
-    return markup.nodes(nodes, "md_doc_id", "byte_start", "id").select("md_doc_id", "id", "kind", "plain", "plain_raw", "marks", "label")
+    nodes = table(spark, d, "markdown_nodes").select("md_doc_id", "id", "kind", "text", "raw", "byte_start")
+    return markup.nodes(nodes, "md_doc_id", "byte_start", "id", ["md_doc_id", "id", "kind"])
 
 
 def p2_documents(spark: SparkSession, d: str) -> DataFrame:
