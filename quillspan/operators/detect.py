@@ -150,13 +150,35 @@ def package_signals(content: Column) -> Column:
     return run(F.when(F.hex(F.substring(content, 1, 4)).rlike("^504B0304"), content))
 
 
+def _binary(data: bytes | None) -> list[dict]:
+    """CBOR and MessagePack: one object or array that takes up all bytes."""
+    from quillspan.formats.base import rows_of
+
+    out = []
+    for format in ("cbor", "msgpack") if data else ():
+        found = rows_of(format, data, {})
+        if found[0][5]["status"] == "complete" and found[0][5].get("items") == "1" and found[1][2] in ("object", "array"):
+            out.append({"format": format, "kind": "structure", "evidence": "complete value", "w": 0.82, "decisive": False})
+    return out
+
+
+def binary_signals(content: Column, sample: Column) -> Column:
+    """Signals of binary values, for bytes that are no text and begin like nothing known."""
+
+    @F.pandas_udf(f"array<{_SIGNAL}>")
+    def run(contents: pd.Series) -> pd.Series:
+        return pd.Series([_binary(c) for c in contents])
+
+    return run(F.when(sample.isNull() & (F.size(magic_signals(content)) == 0) & (F.octet_length(content) <= SAMPLE_BYTES), content))
+
+
 def signals(df: DataFrame, key: str, content: str, filename: str | None = None, media: str | None = None, hint: str | None = None, packages: bool = True) -> DataFrame:
     """key, format, kind, evidence, w and decisive of every signal of every file. Null content has those of its labels."""
     none = F.lit(None).cast("string")
     raw = F.col(content).cast("binary")
     parts = [magic_signals(raw), text_signals(text_sample(raw)), label_signals(*(F.col(c) if c else none for c in (filename, media, hint)))]
     if packages:
-        parts.append(package_signals(raw))
+        parts += [package_signals(raw), binary_signals(raw, text_sample(raw))]
     empty = F.array().cast(f"array<{_SIGNAL}>")
     return df.select(F.col(key), F.explode(F.concat(*[F.coalesce(p.cast(f"array<{_SIGNAL}>"), empty) for p in parts])).alias("s")).select(key, "s.*")
 

@@ -223,6 +223,23 @@ class Migrations:
         return value
 
 
+#: Schemas of what is written here, by name.
+CATALOGUE = {
+    "node": {"type": "object", "required": ["node", "kind", "attrs"], "properties": {"node": {"type": "integer", "minimum": 0}, "parent": {"type": ["integer", "null"]}, "kind": {"type": "string"}, "name": {"type": ["string", "null"]}, "value": {"type": ["string", "null"]}, "attrs": {"type": "object", "additionalProperties": {"type": "string"}}, "byte_start": {"type": ["integer", "null"]}, "byte_end": {"type": ["integer", "null"]}}},
+    "envelope": {"type": "object", "required": ["request_id", "status"], "properties": {"request_id": {"type": "string"}, "format": {"type": ["string", "null"]}, "status": {"enum": ["complete", "partial", "failed", "missing", "unsupported", "unknown", "ambiguous"]}, "bytes": {"type": ["integer", "null"], "minimum": 0}, "sha256": {"type": ["string", "null"], "pattern": "^sha256:[0-9a-f]{64}$"}}},
+    "segment": {"type": "object", "required": ["segment", "text", "segment_id"], "properties": {"segment": {"type": "integer", "minimum": 0}, "text": {"type": "string"}, "segment_id": {"type": "string"}, "nodes": {"type": "array", "items": {"type": "string"}}}},
+}
+EXAMPLES = {
+    "node": {"node": 0, "parent": None, "kind": "document", "name": "text", "value": None, "attrs": {"status": "complete"}, "byte_start": None, "byte_end": None}, "envelope": {"request_id": "a", "format": "text", "status": "complete", "bytes": 1, "sha256": "sha256:" + "0" * 64},
+    "segment": {"segment": 0, "text": "a", "segment_id": "segment:0", "nodes": ["n"]},
+}
+
+
+def validate_named(name: str, value: object) -> list[tuple[str, str, str]]:
+    """What a schema of the catalogue forbids in a value; raises KeyError for an unknown name."""
+    return validate_value(value, CATALOGUE[name])
+
+
 def renamed(df: DataFrame, aliases: dict[str, str], defaults: dict[str, object] | None = None) -> DataFrame:
     """The table with columns under their own names: the first of a name and its aliases that is not null, then the default."""
     by: dict[str, list[str]] = {}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,3 +72,13 @@ def ship(spark: SparkSession) -> None:
             file.write(source, source.relative_to(package.parent))
     sc.addPyFile(str(archive))
     sc._quillspan_shipped = True
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Runs what is in it under a tag; ``spark.interruptTag(tag)`` from another thread cancels it."""
+    spark.addTag(tag)
+    try:
+        yield
+    finally:
+        spark.removeTag(tag)

@@ -21,11 +21,6 @@ def terminals(records: DataFrame, source: str = "source") -> DataFrame:
     return totals.withColumn("status", F.when(F.col("malformed") > 0, "partial").otherwise("complete"))
 
 
-def windowed_counts(events: DataFrame, at: str, key: str, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Events of each key and window; a window ends when the watermark has passed it, later rows are not counted."""
-    return events.withWatermark(at, late).groupBy(F.window(at, size), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), key, "n")
-
-
 def run_to_memory(stream: DataFrame, name: str, mode: str) -> StreamingQuery:
     """Runs a stream over what is there and ends; its rows are in the in-memory table ``name``."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

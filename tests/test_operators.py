@@ -6,10 +6,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.formats.base import Tree
+from quillspan.formats.base import Tree, parse
 from quillspan.functions import text as T
 from quillspan.functions import values as V
-from quillspan.operators import analysis, citations, containers, decode, detect, extension, reconcile, render, schemas, segments, summary, walks
+from quillspan.operators import analysis, citations, containers, decode, detect, extension, projects, reconcile, render, schemas, segments, summary, walks
 from quillspan.sources import ingest
 from quillspan.streaming import protocol
 
@@ -48,10 +48,10 @@ def test_decode_and_detect(spark):
     got = {r.id: (r.encoding, r.chosen_by, r.text, r.conflict) for r in decode.decoded(df, "content", "label").collect()}
     assert got[1][:3] == ("utf-8", "content", "é") and got[2] == ("utf-8", "mark", "a", True) and got[3][:3] == ("utf-16be", "transport", "é") and got[4][:3] == ("windows-1252", "content", "é")
     assert got[5][:2] == ("iso-8859-2", "xml") and got[5][2].endswith("ą") and got[6] == (None, None, None, None) and got[7][2] == "" and got[8][2] == "яж" and got[9][2] == "�"
-    files = [(1, "a.docx", zipped(**{"[Content_Types].xml": "x", "word/document.xml": "x"}), None), (2, "a.zip", zipped(x="y"), None), (3, "x.py", b"def f(a):\n    return a\n", None), (4, None, b"", None), (5, "q.csv", b"a,b\n1,2\n", "text/csv"), (6, "t.h", b"int x;", None), (7, "z", bytes(range(256)), None)]
+    files = [(1, "a.docx", zipped(**{"[Content_Types].xml": "x", "word/document.xml": "x"}), None), (2, "a.zip", zipped(x="y"), None), (3, "x.py", b"def f(a):\n    return a\n", None), (4, None, b"", None), (5, "q.csv", b"a,b\n1,2\n", "text/csv"), (6, "t.h", b"int x;", None), (7, "z", bytes(range(256)), None), (8, "v", b"\xa1\x61\x61\x83\x00\x00\xf5", None)]
     df = spark.createDataFrame(files, "id long, name string, content binary, media string")
     found = {r.id: r for r in detect.detect(df, "id", "content", "name", "media").collect()}
-    assert {k: r.format for k, r in found.items()} == {1: "docx", 2: "zip", 3: "python", 4: "text", 5: "csv", 6: "c"} and found[1].confidence > 0.97
+    assert {k: r.format for k, r in found.items()} == {1: "docx", 2: "zip", 3: "python", 4: "text", 5: "csv", 6: "c", 8: "cbor"} and found[1].confidence > 0.97
     ranked = detect.candidates(detect.signals(df, "id", "content", "name"), "id")
     assert {r.status for r in detect.decide(ranked.where("id = 6"), "id", ["cpp"]).collect()} == {"ambiguous"} and [r.format for r in detect.decide(ranked.where("id = 6"), "id", ["cpp"], "prefer_available").collect()] == ["cpp"]
     assert {r.status for r in detect.decide(ranked.where("id = 3"), "id", []).collect()} == {"unsupported"} and {r.status for r in detect.decide(ranked.where("id = 3"), "id", [], minimum=0.999).collect()} == {"unknown"}
@@ -330,3 +330,23 @@ def test_streams(spark, tmp_path):
         q = found.where(f"kind = '{kind}'").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
     assert spark.table("s1").count() == 4 and spark.table("s2").count() == 1
+
+
+def test_projects(spark):
+    files = [("p", "main.tex", "\\documentclass{a}\\input{ch/one}\\include{missing}"), ("p", "ch/one.tex", "\\input{two}"), ("p", "ch/two.tex", "x"), ("p", "old.tex", "\\documentclass{a}"), ("q", "a.tex", "\\input{b}"), ("q", "b.tex", "y")]
+    df = spark.createDataFrame(files, "project string, path string, text string")
+    rows = parse(df.withColumn("k", F.struct("project", "path")), "k", "text", "latex").select("k.*", "*")
+    assert {(r.source, r.target, r.resolved) for r in projects.includes(rows, df).collect()} == {("main.tex", "ch/one.tex", True), ("main.tex", "missing.tex", False), ("ch/one.tex", "ch/two.tex", True), ("a.tex", "b.tex", True)}
+    assert {(r.project, r.path, r.rank, r.reach) for r in projects.roots(rows, df).collect()} == {("p", "main.tex", 1, 2), ("p", "old.tex", 2, 0), ("q", "a.tex", 1, 1)}
+    found = projects.database_logs(spark.createDataFrame([("a.db", 5), ("a.db-wal", 9), ("b.sqlite", 5), ("b.sqlite-wal", 0)], "path string, bytes long"))
+    assert {r.path: r.status for r in found.collect()} == {"a.db": "partial", "b.sqlite": "complete"}
+    nodes = spark.createDataFrame([(1, "f", "figure", None, 5, 1), (1, "c", "caption", "t", 1, 2), (1, "r", "raw", None, 1, 2), (1, "", "paragraph", "p", 1, 2)], "graph_id long, id string, kind string, text string, byte_start long, byte_end long")
+    edges = spark.createDataFrame([(1, "e", "c", "f", "caption_for", True, None)], "graph_id long, id string, source string, target string, relation string, inferred boolean, rule string")
+    assert {(r.id, r.figure) for r in projects.figure_groups(nodes, edges).collect()} == {("f", "f"), ("c", "f")}
+    assert {(r.rule, r.subject) for r in projects.contract_violations(nodes, edges).collect()} == {("reversed_range", "f"), ("raw_without_text", "r"), ("inferred_without_rule", "e")}
+    assert projects.migrated(nodes).where("id like 'doc:node:%' and evidence = 'explicit'").count() == 1
+    items = projects.work_items(spark.createDataFrame([("a", ["b"]), ("b", ["a"]), ("c", ["zz"]), ("c", None)], "key string, deps array<string>"))
+    assert {(r.problem, r.subject) for r in projects.dependency_problems(items).collect()} == {("duplicate_id", "c"), ("unknown_dependency", "zz"), ("cycle", "a")} and items.where("status = 'open'").count() == 4
+    said = spark.createDataFrame([(1, '{"command": "run", "x": 1}'), (2, '{"command": "rm"}'), (3, "hello"), (4, '{"command": "run", "y": 1}'), (5, None)], "id long, t string")
+    assert {r.id: r.outcome for r in projects.commands(said, "id", "t", ["run"], ["x"]).collect()} == {1: "accepted", 2: "rejected", 3: "none", 4: "rejected", 5: "none"}
+    assert all(schemas.validate_named(n, v) == [] for n, v in schemas.EXAMPLES.items()) and set(schemas.EXAMPLES) == set(schemas.CATALOGUE)

@@ -51,6 +51,8 @@ def test_row_range(spark):
 def test_threads_and_layers(spark):
     df = spark.createDataFrame([(1, "<a>", None, "x"), (2, "<b>", ["<a>", "", "<zz>"], "Re: x"), (3, "<a>", ["<b>"], None), (4, None, ["<b>", "<b>"], "y"), (4, None, ["<b>", "<b>"], "y")], "stable_id long, message_id string, in_reply_to array<string>, subject string")
     assert {(r.stable_id, r.reference, r.target) for r in mail.links(df).collect()} == {(2, "<a>", 1), (2, "<zz>", None), (3, "<b>", 2), (4, "<b>", 2)}
+    both = mail.thread_links(df.withColumn("references", F.array(F.lit("<a>"), F.lit("<q>"))))
+    assert {(r.relation, r.reference, r.target) for r in both.where("stable_id = 2").collect()} == {("in_reply_to", "<a>", 1), ("in_reply_to", "<zz>", None), ("references", "<a>", 1), ("references", "<q>", None)}
     assert {r.subject_key: r.messages for r in mail.subject_groups(df).collect()} == {"x": 2, "y": 1}
     edges = spark.createDataFrame([(0, "a", "b"), (0, "b", "c"), (0, "a", "c"), (0, "x", "y"), (0, "y", "x"), (0, "y", "z"), (0, "c", None)], "graph_id long, source string, target string")
     assert {r.id: r.layer for r in graph.layers(edges).collect()} == {"a": 0, "b": 1, "c": 2, "x": None, "y": None, "z": None}
