@@ -280,23 +280,23 @@ def neighbours(df: DataFrame, document: str, at: str, tie: str, label: str, to:
     the nearest labels in the shards before and behind; no task holds a whole document. Rows without a place come first.
     once: of rows with the same place and tie one is kept, without another shuffle.
     """
-    rows = df.withColumns({"_a": F.coalesce(F.col(at).cast("long"), F.lit(-1)), "_w": F.coalesce(F.floor(F.col(at) / shard), F.lit(-1))})
+    rows = df.withColumns({"_k": F.struct(F.col(document).alias("x")), "_a": F.coalesce(F.col(at).cast("long"), F.lit(-1)), "_w": F.coalesce(F.floor(F.col(at) / shard), F.lit(-1))})
     own = F.when(F.col(label).isNotNull(), F.struct(F.col(label).alias("l"), F.col("_a").alias("a")))
     order = F.when(own.isNotNull(), F.struct("_a", tie))
-    inside = Window.partitionBy(document, "_w").orderBy("_a", tie)
+    inside = Window.partitionBy("_k", "_w").orderBy("_a", tie)  # a struct is never null, so windows and the join share one shuffle
     rows = rows.withColumns({
         "_up": F.last(own, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_down": F.first(own, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)),
     })
-    shards = rows.groupBy(F.col(document).alias("_d"), F.col("_w").alias("_cw")).agg(F.max_by(own, order).alias("top"), F.min_by(own, order).alias("low"))
+    shards = rows.groupBy(F.col("_k").alias("_d"), F.col("_w").alias("_cw")).agg(F.max_by(own, order).alias("top"), F.min_by(own, order).alias("low"))
     over = Window.partitionBy("_d").orderBy("_cw")
     carry = shards.select(
         "_d", "_cw", F.last("top", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_cu"), F.first("low", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_cd"),
     )
-    rows = rows.join(carry, F.col(document).eqNullSafe(F.col("_d")) & (F.col("_w") == F.col("_cw")))
+    rows = rows.join(carry, (F.col("_k") == F.col("_d")) & (F.col("_w") == F.col("_cw")))
     up, down = F.coalesce("_up", "_cu"), F.coalesce("_down", "_cd")
     nearest = F.when(down.isNull() | (F.col("_a") - up["a"] <= down["a"] - F.col("_a")), up["l"]).otherwise(down["l"])
-    rows = rows.dropDuplicates([document, "_w", "_a", tie]) if once else rows
-    return rows.withColumn(to, F.coalesce(F.col(label), nearest)).drop("_a", "_w", "_up", "_down", "_d", "_cw", "_cu", "_cd")
+    rows = rows.dropDuplicates(["_k", "_w", "_a", tie]) if once else rows
+    return rows.withColumn(to, F.coalesce(F.col(label), nearest)).drop("_k", "_a", "_w", "_up", "_down", "_d", "_cw", "_cu", "_cd")
 
 
 def _judged(text: str) -> tuple[str | None, bool]:
