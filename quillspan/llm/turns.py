@@ -149,6 +149,7 @@ def segments(df: DataFrame, speakers: DataFrame, languages: DataFrame | None = N
 def _swept(rows: DataFrame, pause: float) -> DataFrame:
     """The segments that say something new or by someone else, with who (the person going on), fresh (the words not
     said before) and cause: ``first``, ``person`` or ``pause`` where a turn opens, else null."""
+    rows = rows.withColumn("rec", F.struct("rec"))  # a struct is never null, so windows and joins share one shuffle
     inside = Window.partitionBy("rec", "w").orderBy("s", "i")
     upto, prior = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
     shards = rows.groupBy("rec", "w").agg(
@@ -160,7 +161,7 @@ def _swept(rows: DataFrame, pause: float) -> DataFrame:
         F.col("rec").alias("crec"), F.col("w").alias("cw"), F.last("p.person", ignorenulls=True).over(earlier).alias("c_person"),
         F.lag("t.said").over(over).alias("c_said"), F.max("e").over(earlier).alias("c_end"), (F.row_number().over(over) == 1).alias("c_first"),
     )
-    rows = rows.join(carry, F.col("rec").eqNullSafe(F.col("crec")) & (F.col("w") == F.col("cw"))).drop("crec", "cw")
+    rows = rows.join(carry, (F.col("rec") == F.col("crec")) & (F.col("w") == F.col("cw"))).drop("crec", "cw")
     rows = rows.withColumns({
         "who": F.coalesce(F.last("person", ignorenulls=True).over(upto), "c_person"),
         "was": F.coalesce(F.last("person", ignorenulls=True).over(prior), "c_person"),
@@ -182,9 +183,9 @@ def _swept(rows: DataFrame, pause: float) -> DataFrame:
     rows = rows.withColumn("fresh", F.coalesce(unsaid(F.when(F.col("again"), F.col("said")), F.when(F.col("again"), F.col("before"))), "said"))
     rows = rows.where(F.col("head") | ~F.col("who").eqNullSafe(F.col("was")) | (F.col("fresh") != "")).drop("again", "before", "said", "c_said")
     limits = rows.where("gap > 0").groupBy(F.col("rec").alias("lrec")).agg(F.greatest(F.percentile_approx("gap", pause), F.lit(MIN_PAUSE_MS)).alias("limit"))
-    rows = rows.join(limits, F.col("rec").eqNullSafe(F.col("lrec")), "left")
+    rows = rows.join(limits, F.col("rec") == F.col("lrec"), "left")
     cause = F.when(F.col("head"), "first").when(~F.col("who").eqNullSafe(F.col("was")), "person").when(F.col("gap") > F.col("limit"), "pause")
-    return rows.withColumn("cause", cause).select("rec", "w", "s", "i", "e", "who", "fresh", "cause")
+    return rows.withColumn("cause", cause).select("rec.rec", "w", "s", "i", "e", "who", "fresh", "cause")
 
 
 def openings(df: DataFrame, speakers: DataFrame, languages: DataFrame | None = None, pause: float = PAUSE) -> DataFrame:
@@ -209,15 +210,15 @@ def turns(df: DataFrame, speakers: DataFrame, languages: DataFrame | None = None
     opens = F.col("cause").isNotNull() if pause is not None else F.col("cause").isin("first", "person")
     inside = Window.partitionBy("rec", "w").orderBy("s", "i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("o", F.when(opens, F.struct("s", "i", "cause")))
-    rows = Scratch(df.sparkSession, "turns").put(rows, "opened")  # read for the carried openings and for the parts
+    rows = Scratch(df.sparkSession, "turns").put(rows, "opened").withColumn("rec", F.struct("rec"))  # read for the carried openings and for the parts
     shards = rows.groupBy("rec", "w").agg(F.max("o").alias("o"))
     earlier = Window.partitionBy("rec").orderBy("w").rowsBetween(Window.unboundedPreceding, -1)
     carry = shards.select(F.col("rec").alias("crec"), F.col("w").alias("cw"), F.max("o").over(earlier).alias("c_o"))
-    rows = rows.join(carry, F.col("rec").eqNullSafe(F.col("crec")) & (F.col("w") == F.col("cw")))
+    rows = rows.join(carry, (F.col("rec") == F.col("crec")) & (F.col("w") == F.col("cw")))
     rows = rows.withColumn("turn", F.coalesce(F.max("o").over(inside), "c_o"))
     parts: Column = F.array_sort(F.collect_list(F.struct("s", "i", "fresh")))
     out = rows.groupBy("rec", "turn", "w").agg(F.max(F.struct("s", "who")).getField("who").alias("speaker_no"), F.max(F.coalesce("e", "s")).alias("end"), F.count("*").alias("segments"), parts.alias("parts"))
     text = F.array_join(F.filter(F.transform("parts", lambda p: p["fresh"]), lambda x: x != ""), " ")
     part = F.row_number().over(Window.partitionBy("rec", "turn").orderBy("w")) - 1
     start, end = (F.when(F.col(c) > -(2**60), F.col(c)) for c in ("turn.s", "end"))
-    return out.select(F.col("rec").alias("recording_id"), F.col("turn.i").alias("segment_index"), part.alias("part"), start.alias("turn_start_ms"), F.col("turn.cause").alias("cause"), "speaker_no", end.alias("part_end_ms"), "segments", text.alias("text"))
+    return out.select(F.col("rec.rec").alias("recording_id"), F.col("turn.i").alias("segment_index"), part.alias("part"), start.alias("turn_start_ms"), F.col("turn.cause").alias("cause"), "speaker_no", end.alias("part_end_ms"), "segments", text.alias("text"))
