@@ -31,6 +31,8 @@ RANGE = 32_768
 HALO = 256
 CELL = 200
 SECTION = 32
+#: Bytes of files that one task reads, at most.
+TASK_BYTES = 256 << 20
 
 HEADING, BLOCK, ITEM, LINE, CODE_LINE, SENTENCE, CLAUSE, WORD, ANY = range(8, -1, -1)
 
@@ -347,7 +349,9 @@ def file_pieces(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int
     have no pieces; a file within the limit is one piece.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select(F.col("path").alias("k"), F.col("length").alias("n"))
-    ranges = files.select("k", "n", F.explode(F.expr(f"sequence(0, (n - 1) div {RANGE})")).alias("r")).repartition("k", "r")
+    total = files.agg(F.sum("n")).first()[0] or 0
+    tasks = max(4 * spark.sparkContext.defaultParallelism, total // TASK_BYTES + 1)  # ranges are small rows, which would else be put into few tasks
+    ranges = files.select("k", "n", F.explode(F.expr(f"sequence(0, (n - 1) div {RANGE})")).alias("r")).repartition(tasks, "k", "r")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
