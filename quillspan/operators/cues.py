@@ -21,15 +21,16 @@ def overlaps(cues: DataFrame, track: str, index: str, start: str, end: str) -> D
     bounds and repeated cues are left out. The latest end is a maximum: it is taken over the cue's own time shard and,
     by way of one row per shard, over the shards before.
     """
-    rows = cues.select(F.col(track).alias("t"), F.col(index).alias("i"), F.col(start).alias("s"), F.col(end).alias("e")).where("s is not null and e is not null").dropDuplicates(["t", "i"])
+    track_ = F.struct(F.col(track).alias("x")).alias("t")  # a struct is never null, so the window and the join share one shuffle
+    rows = cues.select(track_, F.col(index).alias("i"), F.col(start).alias("s"), F.col(end).alias("e")).where("s is not null and e is not null").dropDuplicates(["t", "i"])
     rows = rows.withColumn("w", _shard("s"))
     latest = F.max(F.struct("e", (-F.col("s")).alias("s"), (-F.col("i")).alias("i")))
     before = Window.partitionBy("t", "w").orderBy("s", "e", "i").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("ct").orderBy("cw").rowsBetween(Window.unboundedPreceding, -1)
     carry = rows.groupBy(F.col("t").alias("ct"), F.col("w").alias("cw")).agg(latest.alias("m")).select("ct", "cw", F.max("m").over(earlier).alias("carry"))
-    both = rows.withColumn("top", latest.over(before)).join(carry, F.col("t").eqNullSafe(F.col("ct")) & (F.col("w") == F.col("cw")))
+    both = rows.withColumn("top", latest.over(before)).join(carry, (F.col("t") == F.col("ct")) & (F.col("w") == F.col("cw")))
     both = both.withColumn("top", F.greatest("top", "carry")).where("s < top.e")
-    return both.select(F.col("t").alias(track), F.col("i").alias(index), (-F.col("top.i")).alias("other_index"), (F.least("e", "top.e") - F.col("s")).alias("overlap_ms"))
+    return both.select(F.col("t.x").alias(track), F.col("i").alias(index), (-F.col("top.i")).alias("other_index"), (F.least("e", "top.e") - F.col("s")).alias("overlap_ms"))
 
 
 def transcript(cues: DataFrame, track: str, index: str, start: str, speaker: str, text: str) -> DataFrame:

@@ -85,13 +85,13 @@ def heading_paths(blocks: DataFrame, shard: int = 65_536) -> DataFrame:
     """
     place = F.struct("byte_start", "id", "text")
     rows = blocks.where("byte_start is not null").select("md_doc_id", "id", "kind", "level", "text", "byte_start").dropDuplicates(["md_doc_id", "id"])
-    rows = rows.withColumn("w", F.expr(f"byte_start div {shard}"))
+    rows = rows.withColumns({"w": F.expr(f"byte_start div {shard}"), "k": F.struct("md_doc_id")})  # a struct is never null, so the window and the join share one shuffle
     last = {n: F.max(F.when((F.col("kind") == "heading") & (F.coalesce("level", F.lit(1)) == n), place)) for n in range(1, 7)}
-    inside = Window.partitionBy("md_doc_id", "w").orderBy("byte_start", "id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("k", "w").orderBy("byte_start", "id").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("d").orderBy("cw").rowsBetween(Window.unboundedPreceding, -1)
-    shards = rows.groupBy(F.col("md_doc_id").alias("d"), F.col("w").alias("cw")).agg(*[m.alias(f"c{n}") for n, m in last.items()])
+    shards = rows.groupBy(F.col("k").alias("d"), F.col("w").alias("cw")).agg(*[m.alias(f"c{n}") for n, m in last.items()])
     carry = shards.select("d", "cw", *[F.max(f"c{n}").over(earlier).alias(f"c{n}") for n in last])
-    rows = rows.withColumns({f"h{n}": m.over(inside) for n, m in last.items()}).join(carry, F.col("md_doc_id").eqNullSafe(F.col("d")) & (F.col("w") == F.col("cw")))
+    rows = rows.withColumns({f"h{n}": m.over(inside) for n, m in last.items()}).join(carry, (F.col("k") == F.col("d")) & (F.col("w") == F.col("cw")))
     rows = rows.withColumns({f"h{n}": F.greatest(f"h{n}", f"c{n}") for n in last})
     kept = []
     for n in range(1, 7):

@@ -17,7 +17,8 @@ SHARD_MS = 300_000
 
 def _islands(df: DataFrame, entity: str, start: str, end: str, shard: int) -> DataFrame:
     """Merged islands of each shard with prev, the end of what is covered before (null for the first of an entity)."""
-    iv = df.select(F.col(entity).alias("e"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("t")).where("t > s")
+    # a struct is never null, so windows and joins share one shuffle
+    iv = df.select(F.struct(F.col(entity).alias("x")).alias("e"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("t")).where("t > s")
     first, last = F.expr(f"(s - pmod(s, {shard})) div {shard}"), F.expr(f"((t - 1) - pmod(t - 1, {shard})) div {shard}")
     iv = iv.withColumns({"f": first, "l": last})
     head = F.struct(F.col("f").alias("w"), F.col("s").alias("a"), F.least(F.col("t"), (F.col("f") + 1) * shard).alias("b"), F.when(F.col("l") > F.col("f") + 1, F.col("l") * shard).alias("reach"))
@@ -31,7 +32,7 @@ def _islands(df: DataFrame, entity: str, start: str, end: str, shard: int) -> Da
     shards = local.groupBy("e", "w").agg(F.max("b").alias("last"), F.max("reach").alias("reach"))
     earlier = Window.partitionBy("e").orderBy("w").rowsBetween(Window.unboundedPreceding, -1)
     carry = shards.select("e", "w", F.max(F.greatest("last", "reach")).over(earlier).alias("carry")).withColumnsRenamed({"e": "ce", "w": "cw"})
-    both = local.join(carry, F.col("e").eqNullSafe(F.col("ce")) & (F.col("w") == F.col("cw")))
+    both = local.join(carry, (F.col("e") == F.col("ce")) & (F.col("w") == F.col("cw")))
     inside = Window.partitionBy("e", "w").orderBy("a")
     return both.select("e", "w", "a", "b", F.greatest(F.lag("b").over(inside), F.col("carry")).alias("prev"))
 
@@ -44,7 +45,7 @@ def gaps(df: DataFrame, entity: str, start: str, end: str, shard: int = SHARD_MS
     nothing; an empty table gives an empty result.
     """
     found = _islands(df, entity, start, end, shard).where("a > prev")
-    return found.select(F.col("e").alias(entity), F.col("prev").alias("gap_start"), F.col("a").alias("gap_end"))
+    return found.select(F.col("e.x").alias(entity), F.col("prev").alias("gap_start"), F.col("a").alias("gap_end"))
 
 
 def periods(df: DataFrame, entity: str, start: str, end: str, shard: int = SHARD_MS) -> DataFrame:
@@ -61,5 +62,5 @@ def periods(df: DataFrame, entity: str, start: str, end: str, shard: int = SHARD
     ends = shards.select(
         F.col("e").alias("ce"), F.col("w").alias("cw"), F.first("open.prev", ignorenulls=True).over(later).alias("after"), F.max("last").over(Window.partitionBy("e")).alias("final"),
     )
-    joined = starts.join(ends, F.col("e").eqNullSafe(F.col("ce")) & (F.col("w") == F.col("cw")))
-    return joined.select(F.col("e").alias(entity), F.col("a").alias("period_start"), F.coalesce("next", "after", "final").alias("period_end"))
+    joined = starts.join(ends, (F.col("e") == F.col("ce")) & (F.col("w") == F.col("cw")))
+    return joined.select(F.col("e.x").alias(entity), F.col("a").alias("period_start"), F.coalesce("next", "after", "final").alias("period_end"))
