@@ -8,8 +8,9 @@ by counting first, and graphs above it go through ``components``, whose rounds a
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,11 +136,13 @@ def analyze(edges: DataFrame, nodes: DataFrame | None = None, bound: int = BOUND
         raise ValueError(f"graph {large[0]} has more than {bound} edges")
     kind = dict(rows.dtypes)["graph_id"]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    schema = pa.schema([("id", pa.string()), ("component", pa.string()), ("size", pa.int32()), ("cyclic", pa.bool_()), ("layer", pa.int32()), ("position", pa.int32()), ("cycle", pa.list_(pa.string()))])
+
+    def one(pairs: list[tuple[str, str | None]]) -> list[tuple]:
         graph: dict[str, list[str]] = {}
-        for a, b in zip(frame["source"], frame["target"]):
+        for a, b in pairs:
             graph.setdefault(a, [])
-            if isinstance(b, str):
+            if b is not None:
                 graph[a].append(b)
                 graph.setdefault(b, [])
         for outs in graph.values():
@@ -150,11 +153,43 @@ def analyze(edges: DataFrame, nodes: DataFrame | None = None, bound: int = BOUND
         for members in tarjan(graph):
             cycle = witness(graph, members)
             out += [(n, members[0], len(members), cycle is not None, layer.get(n), place.get(n), cycle if n == members[0] else None) for n in members]
-        found = pd.DataFrame(out, columns=["id", "component", "size", "cyclic", "layer", "position", "cycle"]).astype({"layer": "Int32", "position": "Int32"})
-        found.insert(0, "graph_id", frame["graph_id"].iloc[0])
-        return found
-
-    return rows.groupBy("graph_id").applyInPandas(run, f"graph_id {kind}, {ANALYSIS}")
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # graphs lie together in a partition, so they are read one after the other, not as a frame each
+        key = held = None
+        pairs: list[tuple[str, str | None]] = []
+        out: list[tuple] = []
+        keys: list[pa.Scalar] = []
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out)) if out else [[] for _ in schema]
+            batch = pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], kinds), *(pa.array(c, f.type) for c, f in zip(cols, schema))], ["graph_id", *schema.names])
+            out.clear()
+            keys.clear()
+            return batch
+
+        kinds = None
+        for batch in batches:
+            kinds = batch.column(0).type
+            for scalar, k, a, b in zip(batch.column(0), batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if pairs and k != key:
+                    found = one(pairs)
+                    out += found
+                    keys += [held] * len(found)
+                    pairs = []
+                    if len(out) > 10_000:
+                        yield flush()
+                key, held = k, scalar
+                pairs.append((a, b))
+        if pairs:
+            found = one(pairs)
+            out += found
+            keys += [held] * len(found)
+        if kinds is not None:
+            yield flush()
+
+    return rows.repartition("graph_id").sortWithinPartitions("graph_id").mapInArrow(run, f"graph_id {kind}, {ANALYSIS}")
 
 
 def require_acyclic(edges: DataFrame, nodes: DataFrame | None = None) -> None:

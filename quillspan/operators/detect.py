@@ -63,9 +63,9 @@ def _signal(format: Column, kind: str, evidence: Column, weight: Column | float,
     return F.struct(format.alias("format"), F.lit(kind).alias("kind"), evidence.alias("evidence"), (F.lit(weight) if isinstance(weight, float) else weight).cast("double").alias("w"), F.lit(decisive).alias("decisive"))
 
 
-def magic_signals(content: Column) -> Column:
-    """At most one signal, by the first bytes."""
-    head = F.hex(F.substring(content, 1, 512))
+def magic_signals(content: Column | None, head: Column | None = None) -> Column:
+    """At most one signal, by the first bytes, or by their hex digits if a column has them already."""
+    head = F.hex(F.substring(content, 1, 512)) if head is None else head
     rules = [F.when(head.rlike(p), _signal(F.lit(f), "magic", F.lit(e), w, True)) for f, p, e, w in MAGIC]
     return F.array_compact(F.array(F.coalesce(*rules)))
 
@@ -85,20 +85,29 @@ def text_sample(content: Column) -> Column:
     return F.coalesce(wide, F.when((controls == 0) | (controls * 50 < F.length(F.left(plain, F.lit(4096)))) & ~F.contains(plain, F.lit("\x00")), plain))
 
 
-def delimited(sample: Column, delimiter: str) -> Column:
-    """Whether the first lines, eight at most, have the same number of cells and more than one; quoted cells may hold
-    delimiters."""
-    lines = F.slice(F.filter(F.split(sample, "\r\n|\r|\n"), lambda x: x != ""), 1, 8)
-    widths = F.transform(lines, lambda x: F.length(F.regexp_replace(x, '"[^"]*"', "")) - F.length(F.replace(F.regexp_replace(x, '"[^"]*"', ""), F.lit(delimiter), F.lit(""))))
+def first_lines(sample: Column) -> Column:
+    """The first eight lines that are not empty, of the first 63, without what their quoted cells hold."""
+    lines = F.split(sample, "\r\n|\r|\n", 64)
+    lines = F.when(F.size(lines) == 64, F.slice(lines, 1, 63)).otherwise(lines)
+    return F.transform(F.slice(F.filter(lines, lambda x: x != ""), 1, 8), lambda x: F.regexp_replace(x, '"[^"]*"', ""))
+
+
+def delimited(lines: Column, delimiter: str) -> Column:
+    """Whether lines as ``first_lines`` gives them are two or more and have the same number of cells, more than one."""
+    widths = F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(delimiter), F.lit(""))))
     return (F.size(lines) >= 2) & (F.size(F.array_distinct(widths)) == 1) & (F.get(widths, F.lit(0)) > 0)
 
 
-def text_signals(sample: Column) -> Column:
-    """Signals of structure; text without any is plain."""
+def text_signals(sample: Column, lines: Column | None = None) -> Column:
+    """Signals of structure; text without any is plain. lines: ``first_lines`` of the sample, if a column has them."""
+    lines = first_lines(sample) if lines is None else lines
     rules = [F.when(sample.rlike(p), _signal(F.lit(f), "structure", F.lit(e), w, False)) for f, e, p, w in SIGNALS]
-    rules += [F.when(delimited(sample, d), _signal(F.lit(f), "structure", F.lit("equal widths"), 0.62, False)) for f, d in (("csv", ","), ("tsv", "\t"))]
+    rules += [F.when(delimited(lines, d), _signal(F.lit(f), "structure", F.lit("equal widths"), 0.62, False)) for f, d in (("csv", ","), ("tsv", "\t"))]
     found = F.array_compact(F.array(*rules))
-    return F.when(sample.isNull(), F.array().cast(f"array<{_SIGNAL}>")).when(F.size(found) == 0, F.array(_signal(F.lit("text"), "charset", F.lit("decodes as text"), 0.44, False))).otherwise(found)
+    plain = F.array(_signal(F.lit("text"), "charset", F.lit("decodes as text"), 0.44, False))
+    # bound to a variable, the rules run once; named twice in a condition they would run twice
+    chosen = F.flatten(F.transform(F.array(found), lambda x: F.when(F.size(x) == 0, plain).otherwise(x)))
+    return F.when(sample.isNull(), F.array().cast(f"array<{_SIGNAL}>")).otherwise(chosen)
 
 
 def label_signals(filename: Column, media: Column, hint: Column) -> Column:
@@ -175,12 +184,21 @@ def binary_signals(content: Column, sample: Column) -> Column:
 def signals(df: DataFrame, key: str, content: str, filename: str | None = None, media: str | None = None, hint: str | None = None, packages: bool = True) -> DataFrame:
     """key, format, kind, evidence, w and decisive of every signal of every file. Null content has those of its labels."""
     none = F.lit(None).cast("string")
-    raw = F.col(content).cast("binary")
-    parts = [magic_signals(raw), text_signals(text_sample(raw)), label_signals(*(F.col(c) if c else none for c in (filename, media, hint)))]
+    labels = label_signals(*(F.col(c) if c else none for c in (filename, media, hint)))
+    rows = df.select(F.col(key), F.col(content).cast("binary").alias("_c"), labels.alias("_labels"))
+    rows = rows.withColumns({"_head": F.hex(F.substring("_c", 1, 512)), "_sample": text_sample(F.col("_c"))})
+
+    def once(value: Column, rules) -> Column:
+        """Rules on a value that is computed once: the optimizer would put its expression into each of them."""
+        return F.flatten(F.transform(F.array(value), rules))
+
+    text = once(F.col("_sample"), lambda s: once(first_lines(s), lambda x: text_signals(s, x)))
+    parts = [once(F.col("_head"), lambda h: magic_signals(None, h)), text, F.col("_labels")]
     if packages:
-        parts += [package_signals(raw), binary_signals(raw, text_sample(raw))]
+        parts += [package_signals(F.col("_c")), binary_signals(F.col("_c"), F.col("_sample"))]
     empty = F.array().cast(f"array<{_SIGNAL}>")
-    return df.select(F.col(key), F.explode(F.concat(*[F.coalesce(p.cast(f"array<{_SIGNAL}>"), empty) for p in parts])).alias("s")).select(key, "s.*")
+    found = rows.select(key, F.concat(*[F.coalesce(p.cast(f"array<{_SIGNAL}>"), empty) for p in parts]).alias("_all"))
+    return found.select(key, F.explode("_all").alias("s")).select(key, "s.*")
 
 
 def candidates(found: DataFrame, key: str) -> DataFrame:

@@ -295,7 +295,7 @@ FROM n c JOIN n r ON r.md_doc_id = c.md_doc_id AND r.id = c.parent_id WHERE c.ki
 l AS (SELECT repository, left(sha256(path), 2) AS leaf, count(*) AS m, sum(n) AS n, 'sha256:' || sha256(string_agg(path || ' ' || n || ' ' || h, chr(10) ORDER BY path || ' ' || n || ' ' || h)) AS x FROM x GROUP BY 1, 2)
 SELECT repository, CAST(sum(m) AS BIGINT) AS members, CAST(sum(n) AS BIGINT) AS bytes, 'sha256:' || sha256(string_agg(leaf || ' ' || x, chr(10) ORDER BY leaf)) AS identity FROM l GROUP BY 1""",
     "row_range": "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice LIMIT 250 OFFSET 500",
-    "format_candidates": r"""WITH d AS (SELECT doc_id, text, upper(hex(encode(text)))[:1024] AS h, list_transform(list_filter(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: x <> '')[1:8], lambda x: regexp_replace(x, '"[^"]*"', '', 'g')) AS l FROM documents WHERE text IS NOT NULL),
+    "format_candidates": r"""WITH d AS (SELECT doc_id, text, upper(hex(encode(text)))[:1024] AS h, list_transform(list_filter(regexp_split_to_array(text, '\r\n|\r|\n')[1:63], lambda x: x <> '')[1:8], lambda x: regexp_replace(x, '"[^"]*"', '', 'g')) AS l FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, text, h, l, list_transform(l, lambda x: length(x) - length(replace(x, ',', ''))) AS c, list_transform(l, lambda x: length(x) - length(replace(x, chr(9), ''))) AS t FROM d),
 m AS (SELECT doc_id, CASE """ + " ".join(f"WHEN regexp_matches(h, '{p}') THEN {{'format': '{f}', 'evidence': '{e}', 'w': {w}}}" for f, e, p, w in ((f, e, p, w) for f, p, e, w in detect.MAGIC)) + """ END AS x FROM w),
 r AS (""" + " UNION ALL ".join(f"SELECT doc_id, '{f}' AS format, '{e}' AS evidence, {w} AS w FROM w WHERE regexp_matches(text, '{_signal(p)}')" for f, e, p, w in detect.SIGNALS) + """
